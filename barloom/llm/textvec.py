@@ -20,6 +20,8 @@ SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MARK = np.zeros(256, np.int64)
+_MARK[[ord(c) for c in "!\"'),.:;?]}"]] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -90,7 +92,21 @@ class Words:
         up, down = _powers(max(20, int(n).bit_length()))
         sums = np.zeros(n + 1, U64)
         np.cumsum(_BYTE_VALUES[data] * up[:n], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64))
+        self._sums, self._down = sums, down
+        self.hashes = self.span_hashes(self.ends)
+
+    def span_hashes(self, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from each word's start to ``ends``."""
+        if not len(ends):
+            return np.zeros(0, U64)
+        return mix((self._sums[ends] - self._sums[self.starts]) * self._down[self.starts] + (ends - self.starts).astype(U64))
+
+    def stripped_ends(self) -> np.ndarray:
+        """Ends of the words without up to three closing ASCII marks; a word of marks keeps one."""
+        ends = self.ends.copy()
+        for _ in range(3):
+            ends -= _MARK[self.data[ends - 1]] & (ends - self.starts > 1)
+        return ends
 
     @property
     def first(self) -> np.ndarray:
