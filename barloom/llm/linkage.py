@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import BROADCAST_ROWS, materialize
 
 
-def agreement(a: str, b: str, words: int) -> Column:
+def equal_bits(a: str, b: str, words: int) -> Column:
     """Equal bits of two sketches held as arrays of ``words`` longs."""
     return F.lit(64 * words) - reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)])
 
@@ -68,17 +68,18 @@ def link(
     items: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     least_ratio: float,
-    least_agreement: int,
-    sketch_words: int,
+    agrees: Callable[[str, str], Column],
 ) -> DataFrame:
     """(id, comp) of the items that link with another one.
 
-    ``items``: id long, size long, sketch array<long>, bands array<long> (equal bands share a bucket); a written table.
-    ``verify``: takes distinct pairs (a, b), a < b, returns those that link. ``least_ratio``: smallest size ratio of a linked pair.
+    ``items``: id long, size long, sketch, bands array<long> (equal bands share a bucket); over a written table.
+    ``verify``: takes distinct pairs (a, b), a < b, returns those that link. ``least_ratio``: smallest size ratio of a linked pair;
+    ``agrees``: whether two sketch columns may belong to one.
     """
     buckets = items.select("id", F.explode("bands").alias("bucket"))
-    shared = materialize(buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot"), "buckets")
-    members = materialize(buckets.join(shared, "bucket"), "members")
+    shared = materialize(buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("other"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    larger = small(shared.where("n > 2").select("bucket", "pivot"))  # a bucket of two is its smallest and its largest id
+    members = materialize(buckets.join(larger, "bucket").union(shared.where("n = 2").select(F.explode(F.array("pivot", "other")), "bucket", "pivot").toDF("id", "bucket", "pivot").select("bucket", "id", "pivot")), "members")
     best = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     star = materialize(verify(materialize(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "star")), "links")
     comps = components(star)
@@ -95,7 +96,7 @@ def link(
         (F.col("cu") != F.col("cv"))
         & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
         & (F.least("su", "sv") >= F.lit(least_ratio) * F.greatest("su", "sv"))
-        & (agreement("ku", "kv", sketch_words) >= least_agreement)
+        & agrees("ku", "kv")
     )
     pairs = u.join(v, "bucket").where(near).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")

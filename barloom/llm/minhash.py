@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import materialize
-from barloom.llm.linkage import link, small
+from barloom.llm.linkage import equal_bits, link, small
 from barloom.llm.textvec import U64, Words, distinct, mix, shingles, slices
 
 BINS, ROWS, BANDS = 512, 8, 48
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         left, right = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_verify_batches, "a long, b long")
 
-    comps = link(items, verify, NUMERATOR / DENOMINATOR, LEAST_AGREEMENT, SKETCH_WORDS)
+    comps = link(items, verify, NUMERATOR / DENOMINATOR, lambda a, b: equal_bits(a, b, SKETCH_WORDS) >= LEAST_AGREEMENT)
     of_class = materialize(classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("p", "q", F.coalesce("comp", "rep").alias("component_id")), "of_class")
     return (
         signed.select("id", "size", "p", "q")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontam, langid, minhash, quality_rules, toxicity, warc
-from barloom.llm.common import fresh_path, table
+from barloom.llm import bpe, decontam, langid, line_dedup, minhash, quality_rules, toxicity, warc
+from barloom.llm.common import fresh_path, materialize, table
 
 
 def vocabulary(name: str) -> str:
@@ -96,6 +96,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), net, ["doc_id", "held_out"])
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    gone = materialize(line_dedup.dropped(docs), "dropped").withColumnRenamed("doc_id", "id")
+    sizes = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    return sizes.join(gone, F.col("doc_id") == F.col("id"), "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
