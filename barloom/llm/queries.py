@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontam, langid, line_dedup, minhash, quality_rules, toxicity, warc
+from barloom.llm import bpe, decontam, langid, licenses, line_dedup, minhash, quality_rules, token_counts, toxicity, warc
 from barloom.llm.common import fresh_path, materialize, table
 
 
@@ -18,6 +18,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents enter with a provisional count, are revised to exact ones, and leave if they have no token; one batch is sent twice."""
+    import public_tokenizers
+
+    files = {"byte-50k": vocabulary("byte_bpe_50k.tiktoken"), "byte-multi-50k": vocabulary("byte_bpe_multi_50k.tiktoken")}
+    counts = materialize(token_counts.count(table(spark, sf_dir, "documents"), files, public_tokenizers.PATTERN), "counts")
+    store = token_counts.TokenRollup(spark, fresh_path(spark, "rollup"))
+    store.commit("load", token_counts.signed(counts, 1, "words"))
+    store.commit("revise", token_counts.revised(counts, "words", "n_tokens"))
+    store.commit("revise", token_counts.revised(counts, "words", "n_tokens"))
+    store.compact()
+    store.commit("withdraw", token_counts.signed(counts.where("n_tokens = 0"), -1))
+    return store.totals()
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -89,6 +104,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
