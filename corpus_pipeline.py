@@ -1,15 +1,67 @@
-"""The corpus pipeline: five stages, each the next one's input (filled in stage by stage)."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of ``documents``; the last
+one returns a row of token counts and digests per document. Every stage works on all its predecessor kept.
+A null text has no language and goes at the first stage. Empty tables pass through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.llm import bpe, decontam, langid, line_dedup, minhash
+from barloom.llm.common import DOCUMENT_COLUMNS, fresh_path, materialize, table
+from barloom.llm.queries import vocabulary
+
+#: Documents whose best calibrated language probability is lower are rejected, and those without any letter.
+LEAST_LANGUAGE_SCORE = 0.35
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.fit(docs, F.lit(True))
+    scored = langid.predict(docs, model, list(docs.columns))
+    kept = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return scored.where(kept).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat elsewhere go; a document that keeps no word of its own goes with them, all others stay."""
+    out = line_dedup.deduplicate(docs)
+    out = out.where(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") != "")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest doc_id."""
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(materialize(found, "found"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"), digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("BPE encoding and decoding", encode),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS)
+    for name, stage in STAGES:
+        path = fresh_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
