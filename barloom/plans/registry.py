@@ -7,7 +7,7 @@ from importlib import import_module
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
-MODULES = ("bar_queries", "label_queries", "strategy_queries")
+MODULES = ("bar_queries", "label_queries", "strategy_queries", "model_queries")
 
 
 def _load() -> None:
