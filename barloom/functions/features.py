@@ -146,8 +146,8 @@ def _corrskew(p: int) -> Column:
     """Twice the correlation with the series ``lag`` rows before (column ``__lag_{p}``), scaled as a sum over n of ddof-1 deviations."""
     m = p - min(5, p // 2)
     w = ordered().rowsBetween(-m, -1)
-    flat = F.least(F.stddev_samp("close").over(w), F.stddev_samp(f"__lag_{p}").over(w)) == 0
-    return F.when(flat, 0.0).otherwise(2 * F.corr("close", f"__lag_{p}").over(w) * (m - 1) / m)
+    spread = F.stddev_pop("close").over(w) * F.stddev_pop(f"__lag_{p}").over(w)
+    return F.when(spread == 0, 0.0).otherwise(2 * F.try_divide(F.covar_pop("close", f"__lag_{p}").over(w), spread) * (m - 1) / m)
 
 
 def _jumpvol(f):
