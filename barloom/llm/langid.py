@@ -44,7 +44,7 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """(documents x features counts as float32, has a letter) of the texts of a slice."""
     n_docs = len(offsets) - 1
     lead = (data & 0xC0) != 0x80
-    doc_of = np.repeat(np.arange(n_docs, dtype=np.int64), np.add.reduceat(lead, offsets[:-1]) if len(data) and np.all(np.diff(offsets) > 0) else _per_doc(lead, offsets))
+    doc_of = np.repeat(np.arange(n_docs, dtype=np.int64), _per_doc(lead, offsets))
     cp = _letters()[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
     letters = np.bincount(doc_of[cp != 32], minlength=n_docs) > 0
     out = np.zeros(n_docs * SIZE, np.int64)

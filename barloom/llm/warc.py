@@ -8,7 +8,8 @@ A third of all records may share one payload: the shuffle by digest aggregates b
 occur twice are joined back, from a written table, so that adaptive execution can split a hot digest.
 
 Null payloads count as empty ones (and equal each other); a null url is written as ``urn:page:<id>``. An empty table
-gives an empty archive. Ids are expected to be unique; extra columns are ignored. Payloads are never cut.
+gives an empty archive. A null id is written as an empty one and its record is always a response; rows of equal ids and payloads are
+all responses. Extra columns are ignored. Payloads are never cut.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def base32_sha1(payload: Column) -> Column:
 def headers(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest) of every page."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.concat(F.lit("urn:page:"), F.col("page_id"))).alias("url"), payload.alias("payload")).select(
+    url = F.coalesce(F.col("url").cast("string"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload")).select(
         "page_id", "url", "payload", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")
     )
 
@@ -56,7 +58,7 @@ def resolve(records: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), page_id.cast("string")).cast("binary"))
+    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
@@ -73,7 +75,7 @@ def write_archive(resolved: DataFrame, path: str, records_per_file: int = 2000,
         line("WARC-Target-URI", url),
         line("WARC-Date", F.lit(date)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        line("X-Page-ID", F.col("page_id").cast("string")),
+        line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.when(response, F.lit("")).otherwise(F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("refers_to"))), line("WARC-Refers-To-Date", F.lit(date)), line("X-Refers-To-Page", F.col("refers_to").cast("string")))),
         line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -120,7 +122,7 @@ def _read_batches(with_payload: bool):
                         found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                         if found != digest or len(payload) != size:
                             raise ValueError(f"payload of page {h['X-Page-ID']} is damaged")
-                    rows.append((int(h["X-Page-ID"]), h["WARC-Target-URI"], h["WARC-Type"], int(to) if to else None, size, digest, payload if with_payload and h["WARC-Type"] == "response" else None))
+                    rows.append((int(h["X-Page-ID"]) if h["X-Page-ID"] else None, h["WARC-Target-URI"], h["WARC-Type"], int(to) if to else None, size, digest, payload if with_payload and h["WARC-Type"] == "response" else None))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return run

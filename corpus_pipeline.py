@@ -18,7 +18,13 @@ from barloom.llm.queries import vocabulary
 LEAST_LANGUAGE_SCORE = 0.35
 
 
+def own_columns(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``; others could clash with those that an operator adds."""
+    return docs.select(*DOCUMENT_COLUMNS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = own_columns(docs)
     model = langid.fit(docs, F.lit(True))
     scored = langid.predict(docs, model, list(docs.columns))
     kept = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
@@ -27,21 +33,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat elsewhere go; a document that keeps no word of its own goes with them, all others stay."""
-    out = line_dedup.deduplicate(docs)
+    out = line_dedup.deduplicate(own_columns(docs))
     out = out.where(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") != "")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    return own_columns(out.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id."""
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    return own_columns(docs).join(materialize(gone, "gone"), "doc_id", "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     found = decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialize(found, "found"), "doc_id", "left_anti").select(*docs.columns)
+    return own_columns(docs).join(materialize(found, "found"), "doc_id", "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(*DOCUMENT_COLUMNS)
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
