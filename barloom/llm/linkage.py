@@ -4,7 +4,8 @@ Used by the document and the line operator. The items are representatives of exa
 meet here. Buckets may be huge (a third of all rows), hence no step lists all pairs of a bucket:
 
 1. *Star.* Every item gets one candidate, the smallest id of the bucket (pivot) with which it shares most buckets.
-   These pairs are verified exactly, and their components found.
+   These pairs are verified exactly, and their components found. While the open buckets hold more pairs across components
+   than a few per row, further turns try other pivots, drawn by hash, so groups of near copies grow together in linear work.
 2. *Rest.* A bucket whose items lie in one component is finished: another pair of it cannot change a component.
    In any other bucket every pair across components is compared, except that pairs whose sizes or one-bit sketches exclude
    the similarity are never emitted. What passes is verified exactly, and components are found again.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import BROADCAST_ROWS, materialize
@@ -69,6 +70,7 @@ def link(
     verify: Callable[[DataFrame], DataFrame],
     least_ratio: float,
     agrees: Callable[[str, str], Column],
+    most_turns: int = 6,
 ) -> DataFrame:
     """(id, comp) of the items that link with another one.
 
@@ -81,26 +83,43 @@ def link(
     larger = small(shared.where("n > 2").select("bucket", "pivot"))  # a bucket of two is its smallest and its largest id
     members = materialize(buckets.join(larger, "bucket").union(shared.where("n = 2").select(F.explode(F.array("pivot", "other")), "bucket", "pivot").toDF("id", "bucket", "pivot").select("bucket", "id", "pivot")), "members")
     best = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    star = materialize(verify(materialize(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "star")), "links")
-    comps = components(star)
-
-    joined = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    joined = materialize(joined, "joined")
-    open_ = joined.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("last")).where("main <> last").select("bucket", "main")
-    open_ = materialize(open_, "open")
-    rest = joined.join(open_, "bucket").join(items.select("id", "size", "sketch"), "id")
-    rest = materialize(rest, "rest")
+    tried = [materialize(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "star")]
+    links = [materialize(verify(tried[0]), "links")]
+    comps = components(links[0])
+    least_pairs = 4 * members.count()
+    for turn in range(most_turns + 1):
+        joined = materialize(members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")), "joined")
+        sizes = joined.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.min("comp").alias("main"), F.count("*").alias("k"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+        open_ = materialize(sizes.where("k > 1").select("bucket", "main", "pairs"), "open")
+        rest = materialize(joined.join(open_.select("bucket", "main"), "bucket").join(items.select("id", "size", "sketch"), "id"), "rest")
+        if turn == most_turns or (open_.agg(F.sum("pairs")).first()[0] or 0) <= least_pairs:
+            break
+        pivots = materialize(rest.groupBy("bucket").agg(F.min_by(F.struct("id", "comp", "size", "sketch"), F.xxhash64(F.lit(turn), "id")).alias("p")).select("bucket", F.col("p.id").alias("v"), F.col("p.comp").alias("cv"), F.col("p.size").alias("sv"), F.col("p.sketch").alias("kv")), "pivots")
+        near = rest.toDF("u", "bucket", "cu", "main", "su", "ku").join(pivots, "bucket").where((F.col("cu") != F.col("cv")) & _may_link(least_ratio, agrees))
+        own = Window.partitionBy("u").orderBy(F.desc("n"), "v")  # as many rows as an item has bands, at most
+        few = near.groupBy("u", "v").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(own)).where("k <= 3")
+        fresh = materialize(_untried(few.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), tried), "star")
+        found = materialize(verify(fresh), "links")
+        tried.append(fresh)
+        if found.isEmpty():
+            break
+        links.append(found)
+        comps = components(reduce(DataFrame.union, links))
+
     u = rest.where("comp <> main").select("bucket", F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("size").alias("su"), F.col("sketch").alias("ku"))
     v = rest.select("bucket", F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("size").alias("sv"), F.col("sketch").alias("kv"), "main")
-    near = (
-        (F.col("cu") != F.col("cv"))
-        & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
-        & (F.least("su", "sv") >= F.lit(least_ratio) * F.greatest("su", "sv"))
-        & agrees("ku", "kv")
-    )
-    pairs = u.join(v, "bucket").where(near).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
+    across = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
+    pairs = u.join(v, "bucket").where(across & _may_link(least_ratio, agrees)).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    pairs = materialize(_untried(pairs, tried), "pairs")
     if pairs.isEmpty():
         return comps
-    more = materialize(verify(pairs.join(star, ["a", "b"], "left_anti")), "links")
-    return comps if more.isEmpty() else components(star.union(more))
+    found = materialize(verify(pairs), "links")
+    return comps if found.isEmpty() else components(reduce(DataFrame.union, [*links, found]))
+
+
+def _may_link(least_ratio: float, agrees: Callable[[str, str], Column]) -> Column:
+    return (F.least("su", "sv") >= F.lit(least_ratio) * F.greatest("su", "sv")) & agrees("ku", "kv")
+
+
+def _untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    return pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")

@@ -47,8 +47,9 @@ def _powers(log_size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def slices(batch_texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) for runs of whole texts of about ``limit`` bytes; null is empty."""
+def slices(batch_texts: pa.Array, limit: int = SLICE_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) for runs of whole texts of about ``limit`` bytes
+    and at most ``most`` texts; null is empty."""
     if isinstance(batch_texts, pa.ChunkedArray):
         batch_texts = batch_texts.combine_chunks()
     arr = pc.fill_null(batch_texts.cast(pa.large_string()), "")
@@ -62,7 +63,7 @@ def slices(batch_texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     first = 0
     while first < len(arr):
         end = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        end = min(max(end, first + 1), len(arr))
+        end = min(max(end, first + 1), first + most, len(arr))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
 
