@@ -23,7 +23,7 @@ SPACES = " \t\n\x0b\x0c\r"
 GAMMA = 1.02
 #: rule -> (numerator, denominator, least spread in per mille, fence below too)
 RULES = {
-    "symbols": ("n_symbols", "n_words", 250, False),
+    "symbols": ("n_symbols", "n_words", 60, False),
     "dup_lines": ("n_dup_lines", "n_lines", 200, False),
     "repeats": ("n_repeat_words", "n_words", 130, False),
     "word_length": ("word_chars", "n_words", 500, True),

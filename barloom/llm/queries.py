@@ -50,7 +50,7 @@ m AS (SELECT w.k, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 v AS (SELECT f.*, rule, CAST(floor(1000 * CASE rule WHEN 'symbols' THEN n_symbols WHEN 'dup_lines' THEN n_dup_lines WHEN 'repeats' THEN n_repeat_words ELSE word_chars END
              / CAST(greatest(CASE rule WHEN 'dup_lines' THEN n_lines ELSE n_words END, 1) AS DOUBLE)) AS BIGINT) AS x, spread, below
-      FROM f, (VALUES ('symbols', 250, false), ('dup_lines', 200, false), ('repeats', 130, false), ('word_length', 500, true)) s(rule, spread, below)),
+      FROM f, (VALUES ('symbols', 60, false), ('dup_lines', 200, false), ('repeats', 130, false), ('word_length', 500, true)) s(rule, spread, below)),
 h AS (SELECT lang, source, rule, spread, below, CASE WHEN x > 0 THEN 1 + floor(ln(x) / ln(1.02)) ELSE 0 END AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
 hs AS (SELECT 0 AS level, lang, source, rule, spread, below, bucket, n FROM h
        UNION ALL SELECT 1, lang, NULL, rule, spread, below, bucket, sum(n) FROM h GROUP BY ALL
