@@ -26,6 +26,15 @@ RESEARCH = Profile({"r2": 0.25, "slope": 0.10, "rdd": 0.07, "trades": 0.03, "wal
 TERMINAL = Profile({"r2": 0.20, "slope": 0.20, "rdd": 0.10, "trades": 0.05, "walk": 0.45}, 0.70, 200, 2.0, (10, 20), 4, (0.50, 0.30, 0.20), 2.0, 1.5)
 
 
+#: Minutes of a bar by time frame; a trading week has 5 days of 22 hours, a year 252 of them.
+MINUTES = {"M5": 5, "M15": 15, "M30": 30, "H1": 60, "H4": 240, "D1": 1320}
+
+
+def periods_per_year(timeframe: str) -> float:
+    """Bars of a year; unknown time frames count as H1."""
+    return 22 * 60 * 5 * 252 / MINUTES.get(timeframe, 60)
+
+
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 

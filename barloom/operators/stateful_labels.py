@@ -101,3 +101,35 @@ def validated_levels(df: DataFrame, window: int, least_touches: int, markup: flo
         return {"label": out}
 
     return per_series(df, kernel, "label double")
+
+
+def extremes(x: np.ndarray, prominence: float) -> np.ndarray:
+    """Whether each point is a local maximum (the middle of a flat top) that stands at least ``prominence`` above the higher of its two bases;
+    a base is the lowest point on the way to the next higher point, or to the end of the series."""
+    out, n, i = np.zeros(len(x), bool), len(x), 1
+    while i < n - 1:
+        if x[i] > x[i - 1]:
+            end = i
+            while end < n - 1 and x[end + 1] == x[i]:
+                end += 1
+            if end < n - 1 and x[end + 1] < x[i]:
+                out[(i + end) // 2] = True
+            i = end
+        i += 1
+    for p in np.flatnonzero(out):
+        higher = np.flatnonzero(x[:p] > x[p])
+        left = x[(higher[-1] + 1 if len(higher) else 0) : p + 1].min()
+        higher = np.flatnonzero(x[p + 1 :] > x[p])
+        right = x[p : (p + 1 + higher[0] if len(higher) else n)].min()
+        out[p] = x[p] - max(left, right) >= prominence
+    return out
+
+
+def prominent_extremes(df: DataFrame, prominence: float = 0.1) -> DataFrame:
+    """Adds peak and trough: extremes of close that stand out by ``prominence`` in price units."""
+
+    def kernel(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        c = pdf["close"].to_numpy(float)
+        return {"peak": extremes(c, prominence), "trough": extremes(-c, prominence)}
+
+    return per_series(df, kernel, "peak boolean, trough boolean")

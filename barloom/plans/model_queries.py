@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import features as ft
 from barloom.operators import backtest as bt
+from barloom.operators import dispatch as dp
 from barloom.operators import labels as lb
 from barloom.operators import models as ml
 from barloom.operators import regimes as rg
@@ -60,6 +61,31 @@ j AS (SELECT symbol, rn, bar, cluster AS cur, close AS price, 2.0 AS label FROM
 SELECT symbol, bar, CAST(label AS DOUBLE) AS label FROM j"""
 QUERIES["label_validated_levels"] = lambda spark, sf: sl.validated_levels(_prepared(spark, sf, 15), 20, 2, 0.5, 15).select("symbol", "bar", "label")
 
+QUERIES["prominent_extremes"] = lambda spark, sf: sl.prominent_extremes(event_bars(spark, sf), 5.0).select("symbol", "bar", "peak", "trough")
+
+
+def _extreme_sql(side: str) -> str:
+    """Points of ``c`` (signed close) that are strict local maxima and stand out by 5."""
+    return f"""{side}0 AS (SELECT a.symbol, a.rn, a.c, max(b.rn) FILTER (b.rn < a.rn AND b.c > a.c) AS lo, min(b.rn) FILTER (b.rn > a.rn AND b.c > a.c) AS hi
+ FROM {side} a JOIN {side} b ON a.symbol = b.symbol WHERE a.c > a.p AND a.c > a.q GROUP BY ALL),
+{side}1 AS (SELECT a.symbol, a.rn, a.c - greatest(min(b.c) FILTER (b.rn <= a.rn AND b.rn > coalesce(a.lo, -1)), min(b.c) FILTER (b.rn >= a.rn AND b.rn < coalesce(a.hi, 1000000))) AS prom FROM {side}0 a JOIN {side} b ON a.symbol = b.symbol GROUP BY a.symbol, a.rn, a.c)"""
+
+
+SQL["prominent_extremes"] = f"""WITH {bars_sql()}, s AS (SELECT *, row_number() OVER w - 1 AS rn, lag(close) OVER w AS pv, lead(close) OVER w AS nx FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar)),
+u AS (SELECT symbol, rn, close AS c, pv AS p, nx AS q FROM s), v AS (SELECT symbol, rn, -close AS c, -pv AS p, -nx AS q FROM s), {_extreme_sql("u")}, {_extreme_sql("v")}
+SELECT s.symbol, s.bar, coalesce(a.prom >= 5, false) AS peak, coalesce(b.prom >= 5, false) AS trough FROM s LEFT JOIN u1 a ON a.symbol = s.symbol AND a.rn = s.rn LEFT JOIN v1 b ON b.symbol = s.symbol AND b.rn = s.rn"""
+
+
+def labelled_data(spark, sf) -> DataFrame:
+    """The data set of a trial: features, label and split, counted by split and label."""
+    wanted = [(12, "zscore", "main"), (5, "mean", "main"), (10, "range", "meta")]
+    span = (("2024-01-01 00:00:00", "2024-01-20 23:59:59"), ("2024-01-08 00:00:00", "2024-01-12 23:59:59"))
+    data = dp.labelled_data(event_bars(spark, sf), wanted, "trend_filters", {"kind": "sma", "rolling": 10, "threshold": 0.3, "vol_window": 20}, *span)
+    return data.groupBy("symbol", "split", "label").agg(F.count("*").alias("n_bars"))
+
+
+QUERIES["labelled_data"] = labelled_data
+
 FEATURES = ["12_std_meta_feature", "12_zscore_meta_feature", "12_range_meta_feature"]
 
 
