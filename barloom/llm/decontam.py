@@ -95,10 +95,14 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     # sizes of the items that hold a shingle: where windows may start, and how long they are
     shingles = small(materialize(items.select("m", F.explode(F.array_distinct("item")).alias("h")).distinct(), "shingles"))
 
-    hashed = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.col("text")).alias("hs"))
-    placed = hashed.where(F.size("hs") > 0).select("doc_id", "hs", F.posexplode("hs").alias("p", "h"))
-    begin = F.greatest(F.lit(0), F.least(F.col("p"), F.size("hs") - F.col("m")))
-    windows = placed.join(shingles, "h").select("doc_id", "m", begin.alias("start"), F.slice("hs", begin + 1, F.col("m")).alias("w"))
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # first only the places of shared shingles: the rows of all shingles carry nothing else
+    hit = texts.select("doc_id", F.posexplode(shingle_hashes(F.col("text"))).alias("p", "h")).join(shingles, "h")
+    hit = materialize(hit.groupBy("doc_id").agg(F.collect_set(F.struct("p", "m")).alias("hits")), "hits")
+    held = texts.join(small(hit.select("doc_id")), "doc_id", "left_semi").select("doc_id", shingle_hashes(F.col("text")).alias("hs")).join(hit, "doc_id")
+    placed = held.select("doc_id", "hs", F.explode("hits").alias("x"))
+    begin = F.greatest(F.lit(0), F.least(F.col("x.p"), F.size("hs") - F.col("x.m")))
+    windows = placed.select("doc_id", F.col("x.m").alias("m"), begin.alias("start"), F.slice("hs", begin + 1, F.col("x.m")).alias("w")).where(F.size("w") > 0)
     windows = windows.select("*", simhash(F.col("w"), planes).alias("f"))
 
     item_rows = items.select("item_id", "m", simhash(F.col("item"), planes).alias("g"))
