@@ -41,12 +41,12 @@ def sketch(hashes: np.ndarray, doc: np.ndarray, n_docs: int, bins: int = BINS) -
     """(n_docs x bins) fast similarity sketches of distinct ``hashes`` by ``doc``; a text without any keeps all ones."""
     out = np.full((n_docs, bins), _FULL, U64)
     flat = out.reshape(-1)
-    shift, round_shift = U64(64 - bins.bit_length() + 1), U64(54)
+    shift, round_shift = U64(64 - bins.bit_length() + 1), U64(64 - (2 * bins - 1).bit_length())  # all rounds fit above the hash
     for i in range(2 * bins):
         if not len(hashes):
             break
         x = mix(hashes + U64((i + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        low = (x & U64((1 << 54) - 1)) | (U64(i) << round_shift)
+        low = (x & ((U64(1) << round_shift) - U64(1))) | (U64(i) << round_shift)
         at = doc * bins + ((x >> shift).astype(np.int64) if i < bins else i - bins)
         np.minimum.at(flat, at, low)
         if i % 16 == 15 or i < 16 and i % 3 == 2:  # later rounds never change a full sketch, so it may be looked at seldom

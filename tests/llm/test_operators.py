@@ -259,6 +259,19 @@ def test_hot_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == comp
 
 
+def test_short_texts_link_as_by_brute_force(spark):
+    """Sets of 6 to 30 shingles, each with a copy that is longer by a word or two or has another last word."""
+    texts = []
+    for n in range(6, 31):
+        for k in range(4):
+            w = [f"w{n}x{k}x{i}" for i in range(n + 4)]
+            texts += [" ".join(w), " ".join([*w, "more"] if k < 2 else [*w[:-1], "other"] if k == 2 else [*w, "more", "words"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: set(data.shingles(t)) for i, t in enumerate(texts)}
+    comp = data.components(sets, [(a, a + 1) for a in range(0, len(texts), 2) if data.jaccard(sets[a], sets[a + 1]) >= 0.85])
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == comp
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 6), (6, 5), (5, 1), (20, 21), (30, 30), (22, 21), (22, 21)]
     df = spark.createDataFrame(edges, "a long, b long")
