@@ -7,10 +7,10 @@ keeps its smallest (round, hash). Rounds stop once all bins are filled, after 2
 filled, coordinates of two sets agree with probability J, and the share that agrees is concentrated as for
 independent MinHash values.
 
-``BANDS`` bands of ``ROWS`` coordinates: a pair of Jaccard similarity 0.85 shares no band with probability
-(1 - 0.85^8)^48 < 3e-7. One bit a coordinate forms a 2048-bit sketch; its agreement bound lies five
-standard deviations below what a pair of 0.85 shows. Links are confirmed on the full sets, of the
-documents' own texts. Exact copies of a set are one class (128-bit fingerprint) and never multiply pairs.
+Bands and the agreement bound follow from the least similarity of a link (``banding``): at 0.85 there are 48 bands of 8
+coordinates, at 0.8 there are 50 of 6, and a pair at that similarity shares none with probability < 3e-7. One bit a coordinate
+forms a 2048-bit sketch; its agreement bound lies five standard deviations below what a pair of that similarity shows.
+Links are confirmed on the full sets, of the documents' own texts. Exact copies of a set are one class (128-bit fingerprint) and never multiply pairs.
 
 Results do not depend on row order. Repeated rows of a doc_id count as one row each; extra columns are ignored.
 """
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import partial
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,27 @@ from barloom.llm.common import materialize
 from barloom.llm.linkage import equal_bits, link, small
 from barloom.llm.textvec import U64, Words, distinct, mix, shingles, slices
 
-BINS, ROWS, BANDS = 2048, 8, 48
+BINS = 2048
 SKETCH_WORDS = BINS // 64
-#: Of 2048 bits; a pair of similarity 0.85 agrees in 1894 on average, with a standard deviation of 12.
-LEAST_AGREEMENT = 1834
-NUMERATOR, DENOMINATOR = 85, 100
+#: A pair at the least similarity shares no band with at most this probability.
+MISSED = 3e-7
+#: Least similarity of a link, in per cent.
+SIMILARITY = 85
 _FULL = U64(2**64 - 1)
 
 
+def banding(similarity: int) -> tuple[int, int, int]:
+    """(rows, bands, least agreement) for links of ``similarity`` per cent or more. A pair of 85 agrees in 1894 of 2048 bits
+    on average, with a standard deviation of 12."""
+    s = similarity / 100
+    if not 50 <= similarity <= 95:  # beyond, the bands may need more coordinates than there are
+        raise ValueError("similarity must be from 50 to 95 per cent")
+    rows = round(log(0.85**8) / log(s))  # a band is shared about as often as at 0.85
+    bands = ceil(log(MISSED) / log(1 - s**rows))
+    p = (1 + s) / 2
+    return rows, bands, int(BINS * p - 5 * sqrt(BINS * p * (1 - p)))
+
+
 def sketch(hashes: np.ndarray, doc: np.ndarray, n_docs: int, bins: int = BINS) -> np.ndarray:
     """(n_docs x bins) fast similarity sketches of distinct ``hashes`` by ``doc``; a text without any keeps all ones."""
     out = np.full((n_docs, bins), _FULL, U64)
@@ -58,8 +73,8 @@ def sketch(hashes: np.ndarray, doc: np.ndarray, n_docs: int, bins: int = BINS) -
     return out
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = mix(np.arange(1, BANDS + 1, dtype=U64))
+def _signatures(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
+    salt = mix(np.arange(1, bands + 1, dtype=U64))
     for batch in batches:
         for first, end, data, offsets in slices(batch.column(1), most=512):
             n_docs = end - first
@@ -73,13 +88,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints[1, some] = np.add.reduceat(mix(h ^ U64(0x5A5A5A)), begin)
             full = sketch(h, doc, n_docs)
             bits = np.packbits((mix(full) >> U64(17) & U64(1)).astype(np.uint8), axis=1).view(np.int64)
-            acc = np.broadcast_to(salt, (n_docs, BANDS)).copy()
-            for k in range(ROWS):
-                acc = mix(acc * U64(0xD6E8FEB86659FD93) + full[:, k : ROWS * BANDS : ROWS])
-            bands = acc.view(np.int64)
+            acc = np.broadcast_to(salt, (n_docs, bands)).copy()
+            for k in range(rows):
+                acc = mix(acc * U64(0xD6E8FEB86659FD93) + full[:, k : rows * bands : rows])
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[first:end], pa.array(size.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists(bits), lists(bands)],
+                [batch.column(0)[first:end], pa.array(size.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists(bits), lists(acc.view(np.int64))],
                 ["id", "size", "p", "q", "sketch", "bands"],
             )
 
@@ -107,7 +121,7 @@ class _Sets:
         return out
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify_batches(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
     sets = _Sets()
     for batch in batches:
         for begin in range(0, batch.num_rows, 128):
@@ -117,19 +131,20 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             good = []
             for x, y in zip(left, right):
                 both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                good.append(both > 0 and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
+                good.append(both > 0 and 100 * both >= similarity * (len(x) + len(y) - both))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
-    Two documents link if 100 * intersection >= 85 * union of their sets; component_id is the smallest doc_id
+    Two documents link if 100 * intersection >= ``similarity`` * union of their sets; component_id is the smallest doc_id
     reachable; kept marks that one. A null doc_id has no component and is kept.
     """
+    rows, bands, least_agreement = banding(similarity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(texts.mapInArrow(_signatures, "id long, size long, p long, q long, sketch array<long>, bands array<long>"), "signatures")
+    signed = materialize(texts.mapInArrow(partial(_signatures, rows=rows, bands=bands), "id long, size long, p long, q long, sketch array<long>, bands array<long>"), "signatures")
     classes = materialize(signed.where("size > 0 and id is not null").groupBy("p", "q").agg(F.min("id").alias("rep")), "classes")
     items = materialize(signed.where("size > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"]).select("id", "size", "sketch", "bands"), "items")
 
@@ -137,9 +152,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ids = small(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
         needed = texts.join(ids, "doc_id", "left_semi")
         left, right = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_verify_batches, "a long, b long")
+        return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(partial(_verify_batches, similarity=similarity), "a long, b long")
 
-    comps = link(items, verify, NUMERATOR / DENOMINATOR, lambda a, b: equal_bits(a, b, SKETCH_WORDS) >= LEAST_AGREEMENT)
+    comps = link(items, verify, similarity / 100, lambda a, b: equal_bits(a, b, SKETCH_WORDS) >= least_agreement)
     of_class = materialize(classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("p", "q", F.coalesce("comp", "rep").alias("component_id")), "of_class")
     return (
         signed.select("id", "size", "p", "q")

@@ -16,6 +16,8 @@ from barloom.llm.queries import vocabulary
 
 #: Documents whose best calibrated language probability is lower are rejected, and those without any letter.
 LEAST_LANGUAGE_SCORE = 0.35
+#: Per cent of the five-word shingles; op7 itself links from 85 on.
+NEAR_SIMILARITY = 80
 
 
 def own_columns(docs: DataFrame) -> DataFrame:
@@ -39,8 +41,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """One document of each group of near copies (similarity 0.8 or more) stays, that of the smallest doc_id."""
+    gone = minhash.near_duplicates(docs, NEAR_SIMILARITY).where(~F.col("kept")).select("doc_id").distinct()
     return own_columns(docs).join(materialize(gone, "gone"), "doc_id", "left_anti")
 
 

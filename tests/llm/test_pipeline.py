@@ -60,3 +60,21 @@ def test_run_on_the_smallest_tables(spark, sf):
     kept = [x.text for x in docs.collect()]
     assert not any(b in t for b in bench for t in kept)
     assert docs.select(F.countDistinct("text")).first()[0] == len(kept)
+
+
+def test_near_dedup_takes_pairs_from_four_fifths_on(spark, sf):
+    """Pairs of similarity 0.8 to 0.85 lose their second document, pairs below 0.8 stay."""
+    texts, want = [], set()
+    for n in (8, 9, 12, 20, 40, 90, 300):
+        for k in range(8):
+            w = [f"w{n}x{k}x{i}" for i in range(n + 4)]
+            more = next(m for m in range(1, n) if 100 * n < (80 if k % 2 else 85) * (n + m))
+            a, b = " ".join(w), " ".join([*w, *(f"m{i}" for i in range(more))])
+            want.add(len(texts))
+            if data.jaccard(set(data.shingles(a)), set(data.shingles(b))) < 0.8:
+                want.add(len(texts) + 1)
+            texts += [a, b]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()} == want
+    assert len(texts) / 2 < len(want) < len(texts)
