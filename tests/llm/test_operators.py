@@ -344,3 +344,13 @@ def test_line_dedup(docs, empty):
     out = line_dedup.deduplicate(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert line_dedup.deduplicate(empty).count() == 0
+
+
+def _lines(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_copies_of_short_lines_go(spark):
+    texts = ["Of.\nabcdefgh\n\nThing.", "Of. \nabcdefgi\n\nOf.", "Thing.\nx", "x\n\nOf\nlong enough line", "long enough line"]
+    got = {r.doc_id: set(r.dropped) for r in line_dedup.dropped(_lines(spark, texts)).collect() if r.dropped}
+    assert got == {1: {0, 3}, 2: {0}, 3: {0}, 4: {0}}
