@@ -354,3 +354,11 @@ def test_copies_of_short_lines_go(spark):
     texts = ["Of.\nabcdefgh\n\nThing.", "Of. \nabcdefgi\n\nOf.", "Thing.\nx", "x\n\nOf\nlong enough line", "long enough line"]
     got = {r.doc_id: set(r.dropped) for r in line_dedup.dropped(_lines(spark, texts)).collect() if r.dropped}
     assert got == {1: {0, 3}, 2: {0}, 3: {0}, 4: {0}}
+
+
+def test_long_lines_of_one_repeated_phrase_link(spark):
+    rng = random.Random(6)
+    phrases = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 7)) for _ in range(24)]
+    texts = [x for i, p in enumerate(phrases) for x in ((p * 600)[:4000], "#" + (p * 600)[1 : (4000, 500)[i % 2]])]
+    got = {r.doc_id for r in line_dedup.dropped(_lines(spark, texts)).collect() if r.dropped}
+    assert got == set(range(1, 48, 2))
