@@ -362,3 +362,12 @@ def test_long_lines_of_one_repeated_phrase_link(spark):
     texts = [x for i, p in enumerate(phrases) for x in ((p * 600)[:4000], "#" + (p * 600)[1 : (4000, 500)[i % 2]])]
     got = {r.doc_id for r in line_dedup.dropped(_lines(spark, texts)).collect() if r.dropped}
     assert got == set(range(1, 48, 2))
+
+
+def test_chains_of_short_similar_lines_are_one(spark):
+    """Lines of 5, 6, ... 12 shingles that each resemble only the next ones, so most links are not to a bucket's pivot."""
+    rng = random.Random(8)
+    whole = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(400)]
+    texts = ["\n".join(x[:n] for n in range(13, 21)) for x in whole]
+    got = {r.doc_id: len(r.dropped) for r in line_dedup.dropped(_lines(spark, texts)).collect()}
+    assert got == dict.fromkeys(range(400), 7)
