@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +20,11 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where none is configured, as in tests."""
+    """The shared folder of the session; a local one only where none is configured and the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,9 +40,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if _scratches:
+        _scratches[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratches: list[Scratch] = []
+
+
+class Scratch:
+    """The tables materialized within a ``scratch`` block."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, whose table outlives the block; it must be the latest of ``materialize``."""
+        path = self.paths.pop()
+        if len(_scratches) > 1:
+            _scratches[-2].paths.append(path)
+        return df
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables materialized inside are deleted at the end, but for the one kept; nothing lazy may still read them."""
+    own = Scratch()
+    _scratches.append(own)
+    try:
+        yield own
+    finally:
+        _scratches.remove(own)
+        for path in own.paths:
+            remove(spark, path.rpartition("/")[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,16 +1,18 @@
 """Near-duplicate linkage from band buckets: candidates, exact verification, distributed union-find.
 
-Used by the document and the line operator. The items are representatives of exact copies, so equal items never
-meet here. Buckets may be huge (a third of all rows), hence no step lists all pairs of a bucket:
-
-1. *Star.* Every item gets one candidate, the smallest id of the bucket (pivot) with which it shares most buckets.
-   These pairs are verified exactly, and their components found. While the open buckets hold more pairs across components
-   than a few per row, further turns try other pivots, drawn by hash, so groups of near copies grow together in linear work.
-2. *Rest.* A bucket whose items lie in one component is finished: another pair of it cannot change a component.
-   In any other bucket every pair across components is compared, except that pairs whose sizes or one-bit sketches exclude
-   the similarity are never emitted. What passes is verified exactly, and components are found again.
-
-So every bucket pair is verified, already connected, or excluded by its size or sketch bound.
+Used by the document and the line operator. Equal bands share a bucket, and buckets may be huge (a third of all rows), so no
+step lists all pairs of a bucket at first:
+
+1. The bands are tried in groups, a few first. One aggregation per group finds the *open* buckets, those that hold more than
+   one component; all others are done without a join, whatever their size. Groups of near copies come together in the
+   first, small group of bands, so their buckets in the later groups are closed.
+2. An open bucket of two rows is its one pair. The rows of fuller buckets are looked up, and while they hold more pairs across
+   components than a few per row, turns follow: each component is represented by one row, drawn by hash, and compared
+   with one row of the bucket's largest component.
+3. What remains is compared exactly: every pair across components, except those whose sizes or sketches exclude the similarity.
+
+So every pair of a bucket is verified, connected already, or excluded by its bounds. Nothing is capped. Intermediate tables
+are dropped once the components are written.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BROADCAST_ROWS, materialize
+from barloom.llm.common import BROADCAST_ROWS, materialize, scratch
+
+#: Pairs across components in open buckets, by row of them, up to which they are compared at once.
+PAIRS_A_ROW = 4
 
 
-def equal_bits(a: str, b: str, words: int) -> Column:
+def equal_bits(a: Column, b: Column, words: int) -> Column:
     """Equal bits of two sketches held as arrays of ``words`` longs."""
-    return F.lit(64 * words) - reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)])
+    return F.lit(64 * words) - reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words)])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -65,61 +70,86 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def link(
-    items: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    least_ratio: float,
-    agrees: Callable[[str, str], Column],
-    most_turns: int = 6,
-) -> DataFrame:
-    """(id, comp) of the items that link with another one.
+class Linker:
+    """Links of ``items`` (id long, size long, sketch, bands array<array<long>>: a group of bands each), a written table; rows of one id
+    are equal but for their place.
 
-    ``items``: id long, size long, sketch, bands array<long> (equal bands share a bucket); over a written table.
-    ``verify``: takes distinct pairs (a, b), a < b, returns those that link. ``least_ratio``: smallest size ratio of a linked pair;
-    ``agrees``: whether two sketch columns may belong to one.
+    ``contents``: takes ids, returns (id, content), one row per id. ``similar``: whether two contents link. ``least_ratio``: smallest
+    size ratio of a linked pair; ``agrees``: whether two sketches may belong to one.
     """
-    buckets = items.select("id", F.explode("bands").alias("bucket"))
-    shared = materialize(buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("other"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    larger = small(shared.where("n > 2").select("bucket", "pivot"))  # a bucket of two is its smallest and its largest id
-    members = materialize(buckets.join(larger, "bucket").union(shared.where("n = 2").select(F.explode(F.array("pivot", "other")), "bucket", "pivot").toDF("id", "bucket", "pivot").select("bucket", "id", "pivot")), "members")
-    best = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
-    tried = [materialize(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "star")]
-    links = [materialize(verify(tried[0]), "links")]
-    comps = components(links[0])
-    least_pairs = 4 * members.count()
-    for turn in range(most_turns + 1):
-        joined = materialize(members.join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp")), "joined")
-        sizes = joined.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.min("comp").alias("main"), F.count("*").alias("k"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        open_ = materialize(sizes.where("k > 1").select("bucket", "main", "pairs"), "open")
-        rest = materialize(joined.join(open_.select("bucket", "main"), "bucket").join(items.select("id", "size", "sketch"), "id"), "rest")
-        if turn == most_turns or (open_.agg(F.sum("pairs")).first()[0] or 0) <= least_pairs:
-            break
-        pivots = materialize(rest.groupBy("bucket").agg(F.min_by(F.struct("id", "comp", "size", "sketch"), F.xxhash64(F.lit(turn), "id")).alias("p")).select("bucket", F.col("p.id").alias("v"), F.col("p.comp").alias("cv"), F.col("p.size").alias("sv"), F.col("p.sketch").alias("kv")), "pivots")
-        near = rest.toDF("u", "bucket", "cu", "main", "su", "ku").join(pivots, "bucket").where((F.col("cu") != F.col("cv")) & _may_link(least_ratio, agrees))
-        own = Window.partitionBy("u").orderBy(F.desc("n"), "v")  # as many rows as an item has bands, at most
-        few = near.groupBy("u", "v").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(own)).where("k <= 3")
-        fresh = materialize(_untried(few.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), tried), "star")
-        found = materialize(verify(fresh), "links")
-        tried.append(fresh)
-        if found.isEmpty():
-            break
-        links.append(found)
-        comps = components(reduce(DataFrame.union, links))
 
-    u = rest.where("comp <> main").select("bucket", F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("size").alias("su"), F.col("sketch").alias("ku"))
-    v = rest.select("bucket", F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("size").alias("sv"), F.col("sketch").alias("kv"), "main")
-    across = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
-    pairs = u.join(v, "bucket").where(across & _may_link(least_ratio, agrees)).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    pairs = materialize(_untried(pairs, tried), "pairs")
-    if pairs.isEmpty():
-        return comps
-    found = materialize(verify(pairs), "links")
-    return comps if found.isEmpty() else components(reduce(DataFrame.union, [*links, found]))
-
-
-def _may_link(least_ratio: float, agrees: Callable[[str, str], Column]) -> Column:
-    return (F.least("su", "sv") >= F.lit(least_ratio) * F.greatest("su", "sv")) & agrees("ku", "kv")
-
-
-def _untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
-    return pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
+    def __init__(self, items: DataFrame, contents: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column], least_ratio: float, agrees: Callable[[Column, Column], Column]):
+        self.items, self.contents, self.similar, self.least_ratio, self.agrees = items, contents, similar, least_ratio, agrees
+        self.links: list[DataFrame] = []
+        self.comps: DataFrame | None = None
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the component of every id so far."""
+        if self.comps is None:
+            return rows.withColumn("comp", F.col("id"))
+        return rows.join(small(self.comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    def possible(self, bound: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) that sizes and sketches allow."""
+        a, b = (bound.select(F.col("id").alias(x), F.struct("size", "sketch").alias("k" + x)) for x in "ab")
+        near = pairs.select("a", "b").distinct().join(b, "b").join(a, "a")
+        return near.where(self.may_link("ka", "kb")).select("a", "b")
+
+    def may_link(self, u: str, v: str) -> Column:
+        su, sv = F.col(u)["size"], F.col(v)["size"]
+        return (F.least(su, sv) >= F.lit(self.least_ratio) * F.greatest(su, sv)) & self.agrees(F.col(u)["sketch"], F.col(v)["sketch"])
+
+    def confirm(self, held: DataFrame, pairs: DataFrame) -> bool:
+        """Add the pairs that link; whether there are any."""
+        left, right = held.toDF("a", "x"), held.toDF("b", "y")
+        found = materialize(pairs.join(right, "b").join(left, "a").where(self.similar(F.col("x"), F.col("y"))).select("a", "b"), "links")
+        if found.isEmpty():
+            return False
+        self.links.append(found)
+        self.comps = components(reduce(DataFrame.union, self.links))
+        return True
+
+    def group(self, k: int, most_turns: int) -> None:
+        rows = self.label(self.items.select("id", F.col("bands")[k].alias("own"))).select("id", "comp", F.explode("own").alias("bucket"))
+        least, most = [F.min("id").alias("a"), F.min("comp").alias("ca")], [F.max("id").alias("b"), F.max("comp").alias("cb")]
+        open_ = materialize(rows.groupBy("bucket").agg(*least, *most, F.count("*").alias("n")).where("ca <> cb").select("bucket", "a", "b", "n"), "open")
+        full = small(open_.where("n > 2").select("bucket"))
+        members = materialize(rows.join(full, "bucket").select("bucket", "id").distinct(), "members")
+        ids = open_.where("n = 2").select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id"))
+        ids = materialize(ids.distinct(), "ids")
+        if ids.isEmpty():
+            return
+        bound = materialize(self.items.select("id", "size", "sketch").join(small(ids), "id").dropDuplicates(["id"]), "bound")
+        pairs = materialize(self.possible(bound, open_.where("n = 2")), "pairs")
+        held = materialize(self.contents(ids), "contents")
+        self.confirm(held, pairs)
+        least_pairs, idle = PAIRS_A_ROW * members.count(), 0
+        for turn in range(most_turns + 1):
+            at = materialize(self.label(members), "at")
+            parts = materialize(at.groupBy("bucket", "comp").agg(F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("rep"), F.count("*").cast("double").alias("m")), "parts")
+            main = F.max_by(F.struct("comp", "rep"), F.struct("m", F.xxhash64(F.lit(turn), "comp"))).alias("main")
+            over = parts.groupBy("bucket").agg(main, F.count("*").alias("k"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
+            over = materialize(over.where("k > 1").select("bucket", F.col("main.comp").alias("main"), F.col("main.rep").alias("hub"), "pairs"), "over")
+            left = over.agg(F.sum("pairs")).first()[0] or 0
+            if left <= least_pairs or turn == most_turns or idle == 2:
+                break
+            tries = parts.join(small(over), "bucket").where("comp <> main").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+            idle = 0 if self.confirm(held, materialize(self.possible(bound, tries), "pairs")) else idle + 1
+        if not left:
+            return
+        every = materialize(at.join(small(over.select("bucket", "main")), "bucket").join(bound.select("id", F.struct("size", "sketch").alias("k")), "id"), "rest")
+        u = every.where("comp <> main").select("bucket", F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("k").alias("ku"))
+        v = every.select("bucket", F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("k").alias("kv"), "main")
+        across = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
+        pairs = u.join(v, "bucket").where(across & self.may_link("ku", "kv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        self.confirm(held, materialize(pairs, "pairs"))
+
+
+def link(items: DataFrame, contents, similar, least_ratio: float, agrees, groups: int, most_turns: int = 10) -> DataFrame:
+    """(id, comp) of the items that link with another one; see ``Linker``."""
+    linker = Linker(items, contents, similar, least_ratio, agrees)
+    with scratch(items.sparkSession) as tables:
+        for k in range(groups):
+            linker.group(k, most_turns)
+        none = items.select("id", F.col("id").alias("comp")).limit(0)
+        return tables.keep(materialize(none if linker.comps is None else linker.comps, "comps"))

@@ -10,29 +10,32 @@ independent MinHash values.
 Bands and the agreement bound follow from the least similarity of a link (``banding``): at 0.85 there are 48 bands of 8
 coordinates, at 0.8 there are 50 of 6, and a pair at that similarity shares none with probability < 3e-7. One bit a coordinate
 forms a 2048-bit sketch; its agreement bound lies five standard deviations below what a pair of that similarity shows.
-Links are confirmed on the full sets, of the documents' own texts. Exact copies of a set are one class (128-bit fingerprint) and never multiply pairs.
+Links are confirmed on the full sets of shingle hashes, made once for each class in an open bucket. Exact copies of a set are one
+class (128-bit fingerprint; named by its first half among the candidates) and never multiply pairs.
 
-Results do not depend on row order. Repeated rows of a doc_id count as one row each; extra columns are ignored.
+Results do not depend on row order. Repeated rows of a doc_id are judged alike; rows of one doc_id with other texts by their own text each.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import partial
 from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize
+from barloom.llm.common import materialize, scratch
 from barloom.llm.linkage import equal_bits, link, small
 from barloom.llm.textvec import U64, Words, distinct, mix, shingles, slices
 
 BINS = 2048
 SKETCH_WORDS = BINS // 64
+#: Bands tried first; groups of near copies come together in these.
+FIRST_BANDS = 6
 #: A pair at the least similarity shares no band with at most this probability.
 MISSED = 3e-7
 #: Least similarity of a link, in per cent.
@@ -73,6 +76,18 @@ def sketch(hashes: np.ndarray, doc: np.ndarray, n_docs: int, bins: int = BINS) -
     return out
 
 
+def _prints(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Two 64-bit fingerprints of every set, whatever its order."""
+    out = np.zeros((2, n_docs), U64)
+    size = np.bincount(doc, minlength=n_docs)
+    some = np.flatnonzero(size)
+    if len(some):
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1][some]
+        out[0, some] = np.add.reduceat(mix(h ^ U64(0xA5A5)), begin)
+        out[1, some] = np.add.reduceat(mix(h ^ U64(0x5A5A5A)), begin)
+    return out
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Iterator[pa.RecordBatch]:
     salt = mix(np.arange(1, bands + 1, dtype=U64))
     for batch in batches:
@@ -80,12 +95,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Ite
             n_docs = end - first
             h, doc = distinct(*shingles(Words(data, offsets))[:2])
             size = np.bincount(doc, minlength=n_docs)
-            prints = np.zeros((2, n_docs), U64)
-            some = np.flatnonzero(size)
-            if len(some):
-                begin = np.concatenate([[0], np.cumsum(size)])[:-1][some]
-                prints[0, some] = np.add.reduceat(mix(h ^ U64(0xA5A5)), begin)
-                prints[1, some] = np.add.reduceat(mix(h ^ U64(0x5A5A5A)), begin)
+            prints = _prints(h, doc, n_docs)
             full = sketch(h, doc, n_docs)
             bits = np.packbits((mix(full) >> U64(17) & U64(1)).astype(np.uint8), axis=1).view(np.int64)
             acc = np.broadcast_to(salt, (n_docs, bands)).copy()
@@ -93,76 +103,59 @@ def _signatures(batches: Iterator[pa.RecordBatch], rows: int, bands: int) -> Ite
                 acc = mix(acc * U64(0xD6E8FEB86659FD93) + full[:, k : rows * bands : rows])
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[first:end], pa.array(size.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists(bits), lists(acc.view(np.int64))],
-                ["id", "size", "p", "q", "sketch", "bands"],
+                [batch.column(0)[first:end], batch.column(2)[first:end], pa.array(size.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists(bits), lists(acc.view(np.int64))],
+                ["id", "text_hash", "size", "p", "q", "sketch", "bands"],
             )
 
 
-class _Sets:
-    """Sorted shingle sets of texts, the latest ones kept by id."""
-
-    def __init__(self, keep: int = 64):
-        self.keep, self.found = keep, OrderedDict()
-
-    def of(self, ids: list, texts: pa.Array) -> list[np.ndarray]:
-        out: list = [self.found.get(i) for i in ids]
-        missing = list({i: k for k, i in enumerate(ids) if out[k] is None}.values())
-        if missing:
-            fresh = {}
-            for first, end, data, offsets in slices(texts.take(pa.array(missing))):
-                h, doc = distinct(*shingles(Words(data, offsets))[:2])
-                edges = np.searchsorted(doc, np.arange(end - first + 1))
-                for k in range(end - first):
-                    fresh[ids[missing[first + k]]] = np.sort(h[edges[k] : edges[k + 1]])
-            out = [fresh.get(i) if x is None else x for i, x in zip(ids, out)]
-            self.found.update(fresh)
-            while len(self.found) > self.keep:
-                self.found.popitem(last=False)
-        return out
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, end, data, offsets in slices(batch.column(0), most=512):
+            h, doc = distinct(*shingles(Words(data, offsets))[:2])
+            edges = np.searchsorted(doc, np.arange(end - first + 1)).astype(np.int32)
+            own = pa.ListArray.from_arrays(pa.array(edges), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_prints(h, doc, end - first)[0].view(np.int64)), own], ["id", "content"])
 
 
-def _verify_batches(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
-    sets = _Sets()
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 128):
-            part = batch.slice(begin, 128)
-            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-            left, right = sets.of(a, part.column(2)), sets.of(b, part.column(3))
-            good = []
-            for x, y in zip(left, right):
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                good.append(both > 0 and 100 * both >= similarity * (len(x) + len(y) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
+def judge(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """As ``near_duplicates``, with text_hash, which tells rows of one doc_id with other texts apart."""
+    rows, bands, least_agreement = banding(similarity)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    signed = texts.mapInArrow(partial(_signatures, rows=rows, bands=bands), "id long, text_hash long, size long, p long, q long, sketch array<long>, bands array<long>")
+    with scratch(docs.sparkSession) as tables:
+        signed = materialize(signed, "signatures")
+        classes = materialize(signed.where("size > 0 and id is not null").groupBy("p", "q").agg(F.min("id").alias("rep")), "classes")
+        # a class stands for itself by the row of its smallest doc_id, and is named by p
+        items = signed.where("size > 0").join(classes.select("p", "q", F.col("rep").alias("id")), ["p", "q", "id"]).select(F.col("p").alias("id"), "size", "sketch", "bands")
+        items = materialize(items.withColumn("bands", F.array(F.slice("bands", 1, FIRST_BANDS), F.slice("bands", FIRST_BANDS + 1, bands))), "items")
+
+        def contents(ids: DataFrame) -> DataFrame:
+            reps = materialize(classes.select(F.col("p").alias("id"), F.col("rep").alias("doc_id")).join(small(ids), "id"), "reps")
+            needed = texts.join(small(reps.select("doc_id")), "doc_id", "left_semi").select("text")
+            return needed.mapInArrow(_set_batches, "id long, content array<long>").join(small(ids), "id", "left_semi").dropDuplicates(["id"])
+
+        def similar(x: Column, y: Column) -> Column:
+            both = F.size(F.array_intersect(x, y))
+            return (both > 0) & (100 * both >= similarity * (F.size(x) + F.size(y) - both))
+
+        comps = link(items, contents, similar, similarity / 100, lambda a, b: equal_bits(a, b, SKETCH_WORDS) >= least_agreement, 2)
+        of_class = classes.join(small(comps.withColumnRenamed("id", "p")), "p")
+        least = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
+        of_class = materialize(of_class.join(least, "comp").select("p", "q", "component_id"), "of_class")
+        copies = classes.join(small(of_class), ["p", "q"], "left").select("p", "q", F.coalesce("component_id", "rep").alias("component_id"))
+        out = (
+            signed.select("id", "text_hash", "size", "p", "q")
+            .join(copies, ["p", "q"], "left")
+            .select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "text_hash")
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        )
+        return tables.keep(materialize(out, "judged"))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
     Two documents link if 100 * intersection >= ``similarity`` * union of their sets; component_id is the smallest doc_id
-    reachable; kept marks that one. A null doc_id has no component and is kept.
+    reachable; kept marks that one. A null doc_id has no component of its own: it is kept, and names the component its text belongs to.
     """
-    rows, bands, least_agreement = banding(similarity)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(texts.mapInArrow(partial(_signatures, rows=rows, bands=bands), "id long, size long, p long, q long, sketch array<long>, bands array<long>"), "signatures")
-    classes = materialize(signed.where("size > 0 and id is not null").groupBy("p", "q").agg(F.min("id").alias("rep")), "classes")
-    items = materialize(signed.where("size > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"]).select("id", "size", "sketch", "bands"), "items")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = small(materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
-        needed = texts.join(ids, "doc_id", "left_semi")
-        left, right = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(partial(_verify_batches, similarity=similarity), "a long, b long")
-
-    comps = link(items, verify, similarity / 100, lambda a, b: equal_bits(a, b, SKETCH_WORDS) >= least_agreement)
-    of_class = materialize(classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("p", "q", F.coalesce("comp", "rep").alias("component_id")), "of_class")
-    return (
-        signed.select("id", "size", "p", "q")
-        .join(of_class, ["p", "q"], "left")
-        .select(
-            F.col("id").alias("doc_id"),
-            F.col("size").alias("n_shingles"),
-            F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    return judge(docs, similarity).select("doc_id", "n_shingles", "component_id", "kept")

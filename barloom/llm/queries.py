@@ -117,7 +117,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    gone = materialize(line_dedup.dropped(docs), "dropped").withColumnRenamed("doc_id", "id")
+    gone = line_dedup.dropped(docs).withColumnRenamed("doc_id", "id")
     sizes = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
     return sizes.join(gone, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")
