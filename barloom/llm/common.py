@@ -11,7 +11,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Broadcast only tables of at most so many rows (each a few longs wide).
 BROADCAST_ROWS = 200_000
@@ -34,15 +35,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/barloom/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and later joins see plain scans,
-    which lets adaptive execution split their skewed partitions."""
-    spark = df.sparkSession
+    which lets adaptive execution split their skewed partitions. ``n_rows`` of the result and its ``metrics`` are counted while writing."""
+    spark, seen = df.sparkSession, Observation()
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[v.alias(k) for k, v in metrics.items()]).write.parquet(path)
     if _scratches:
         _scratches[-1].paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    for k, v in seen.get.items():
+        setattr(out, k, v)
+    return out
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast ``df`` if a count shows that it is small; otherwise leave the join to a shuffle."""
+    n = getattr(df, "n_rows", None)
+    if n is None:
+        n = df.limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 _scratches: list[Scratch] = []

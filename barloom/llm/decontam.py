@@ -23,8 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize
-from barloom.llm.linkage import small
+from barloom.llm.common import materialize, small
 from barloom.llm.quality_rules import let, words_of
 
 SHINGLE = 5

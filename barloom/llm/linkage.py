@@ -23,15 +23,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BROADCAST_ROWS, materialize, scratch
+from barloom.llm.common import materialize, scratch, small
 
 #: Pairs across components in open buckets, by row of them, up to which they are compared at once.
 PAIRS_A_ROW = 4
 
 
-def equal_bits(a: Column, b: Column, words: int) -> Column:
-    """Equal bits of two sketches held as arrays of ``words`` longs."""
-    return F.lit(64 * words) - reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words)])
+def equal_bits(a: str, b: str, words: int) -> str:
+    """SQL: equal bits of two sketches held as arrays of ``words`` longs."""
+    return f"{64 * words} - " + " - ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(words))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -50,35 +50,33 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         la, lb = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
         across = edges.join(la, "a").join(lb, "b").where("ca <> cb")
         hooks = materialize(across.select(F.greatest("ca", "cb").alias("comp"), F.least("ca", "cb").alias("to")).groupBy("comp").agg(F.min("to").alias("to")), "hooks")
-        if hooks.isEmpty():
+        if not hooks.n_rows:
             break
-        for _ in range(most_rounds):  # shorten chains of hooks
-            step = hooks.select(F.col("comp").alias("to"), F.col("to").alias("next"))
-            shorter = materialize(hooks.join(step, "to", "left").select("comp", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "hooks")
-            done = shorter.where("moved").isEmpty()
-            hooks = shorter.select("comp", "to")
+        for _ in range(most_rounds):  # shorten chains of hooks, fourfold
+            step = small(hooks).select(F.col("comp").alias("to"), F.col("to").alias("next"))
+            then = step.toDF("next", "after")
+            far = hooks.join(step, "to", "left").join(then, "next", "left")
+            hooks = materialize(far.select("comp", F.coalesce("after", "next", "to").alias("to"), F.col("after").isNotNull().alias("moved")), "hooks", n_moved=F.count_if("moved"))
+            done = not hooks.n_moved
+            shorter = hooks.select("comp", "to")
+            shorter.n_rows, hooks = hooks.n_rows, shorter
             if done:
                 break
-        labels = materialize(labels.join(hooks, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
+        labels = materialize(labels.join(small(hooks), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
     else:
         raise RuntimeError("components did not settle")
     return labels
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast ``df`` if a count shows that it is small; otherwise leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 class Linker:
     """Links of ``items`` (id long, size long, sketch, bands array<array<long>>: a group of bands each), a written table; rows of one id
     are equal but for their place.
 
     ``contents``: takes ids, returns (id, content), one row per id. ``similar``: whether two contents link. ``least_ratio``: smallest
-    size ratio of a linked pair; ``agrees``: whether two sketches may belong to one.
+    size ratio of a linked pair; ``agrees``: SQL, whether two sketches may belong to one.
     """
 
-    def __init__(self, items: DataFrame, contents: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column], least_ratio: float, agrees: Callable[[Column, Column], Column]):
+    def __init__(self, items: DataFrame, contents: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column], least_ratio: float, agrees: Callable[[str, str], str]):
         self.items, self.contents, self.similar, self.least_ratio, self.agrees = items, contents, similar, least_ratio, agrees
         self.links: list[DataFrame] = []
         self.comps: DataFrame | None = None
@@ -96,14 +94,17 @@ class Linker:
         return near.where(self.may_link("ka", "kb")).select("a", "b")
 
     def may_link(self, u: str, v: str) -> Column:
-        su, sv = F.col(u)["size"], F.col(v)["size"]
-        return (F.least(su, sv) >= F.lit(self.least_ratio) * F.greatest(su, sv)) & self.agrees(F.col(u)["sketch"], F.col(v)["sketch"])
+        ratio = f"least({u}.size, {v}.size) >= {self.least_ratio} * greatest({u}.size, {v}.size)"
+        return F.expr(f"{ratio} and ({self.agrees(f'{u}.sketch', f'{v}.sketch')})")
 
     def confirm(self, held: DataFrame, pairs: DataFrame) -> bool:
         """Add the pairs that link; whether there are any."""
+        pairs = materialize(pairs, "pairs")
+        if not pairs.n_rows:
+            return False
         left, right = held.toDF("a", "x"), held.toDF("b", "y")
         found = materialize(pairs.join(right, "b").join(left, "a").where(self.similar(F.col("x"), F.col("y"))).select("a", "b"), "links")
-        if found.isEmpty():
+        if not found.n_rows:
             return False
         self.links.append(found)
         self.comps = components(reduce(DataFrame.union, self.links))
@@ -115,34 +116,31 @@ class Linker:
         open_ = materialize(rows.groupBy("bucket").agg(*least, *most, F.count("*").alias("n")).where("ca <> cb").select("bucket", "a", "b", "n"), "open")
         full = small(open_.where("n > 2").select("bucket"))
         members = materialize(rows.join(full, "bucket").select("bucket", "id").distinct(), "members")
-        ids = open_.where("n = 2").select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id"))
-        ids = materialize(ids.distinct(), "ids")
-        if ids.isEmpty():
+        ids = materialize(open_.where("n = 2").select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct(), "ids")
+        if not ids.n_rows:
             return
         bound = materialize(self.items.select("id", "size", "sketch").join(small(ids), "id").dropDuplicates(["id"]), "bound")
-        pairs = materialize(self.possible(bound, open_.where("n = 2")), "pairs")
         held = materialize(self.contents(ids), "contents")
-        self.confirm(held, pairs)
-        least_pairs, idle = PAIRS_A_ROW * members.count(), 0
+        self.confirm(held, self.possible(bound, open_.where("n = 2")))
+        idle = 0
         for turn in range(most_turns + 1):
-            at = materialize(self.label(members), "at")
+            at = self.label(members)
             parts = materialize(at.groupBy("bucket", "comp").agg(F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("rep"), F.count("*").cast("double").alias("m")), "parts")
             main = F.max_by(F.struct("comp", "rep"), F.struct("m", F.xxhash64(F.lit(turn), "comp"))).alias("main")
-            over = parts.groupBy("bucket").agg(main, F.count("*").alias("k"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
-            over = materialize(over.where("k > 1").select("bucket", F.col("main.comp").alias("main"), F.col("main.rep").alias("hub"), "pairs"), "over")
-            left = over.agg(F.sum("pairs")).first()[0] or 0
-            if left <= least_pairs or turn == most_turns or idle == 2:
+            over = parts.groupBy("bucket").agg(main, F.count("*").alias("k"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("k > 1")
+            over = materialize(over.select("bucket", F.col("main.comp").alias("main"), F.col("main.rep").alias("hub"), "pairs"), "over", left=F.sum("pairs"))
+            if (over.left or 0) <= PAIRS_A_ROW * members.n_rows or turn == most_turns or idle == 2:
                 break
             tries = parts.join(small(over), "bucket").where("comp <> main").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-            idle = 0 if self.confirm(held, materialize(self.possible(bound, tries), "pairs")) else idle + 1
-        if not left:
+            idle = 0 if self.confirm(held, self.possible(bound, tries)) else idle + 1
+        if not over.n_rows:
             return
-        every = materialize(at.join(small(over.select("bucket", "main")), "bucket").join(bound.select("id", F.struct("size", "sketch").alias("k")), "id"), "rest")
+        every = materialize(at.join(small(over).select("bucket", "main"), "bucket").join(bound.select("id", F.struct("size", "sketch").alias("k")), "id"), "rest")
         u = every.where("comp <> main").select("bucket", F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("k").alias("ku"))
         v = every.select("bucket", F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("k").alias("kv"), "main")
         across = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
         pairs = u.join(v, "bucket").where(across & self.may_link("ku", "kv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        self.confirm(held, materialize(pairs, "pairs"))
+        self.confirm(held, pairs)
 
 
 def link(items: DataFrame, contents, similar, least_ratio: float, agrees, groups: int, most_turns: int = 10) -> DataFrame:

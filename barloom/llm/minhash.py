@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize, scratch
-from barloom.llm.linkage import equal_bits, link, small
+from barloom.llm.common import materialize, scratch, small
+from barloom.llm.linkage import equal_bits, link
 from barloom.llm.textvec import U64, Words, distinct, mix, shingles, slices
 
 BINS = 2048
@@ -138,7 +138,7 @@ def judge(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             both = F.size(F.array_intersect(x, y))
             return (both > 0) & (100 * both >= similarity * (F.size(x) + F.size(y) - both))
 
-        comps = link(items, contents, similar, similarity / 100, lambda a, b: equal_bits(a, b, SKETCH_WORDS) >= least_agreement, 2)
+        comps = link(items, contents, similar, similarity / 100, lambda a, b: f"{equal_bits(a, b, SKETCH_WORDS)} >= {least_agreement}", 2)
         of_class = classes.join(small(comps.withColumnRenamed("id", "p")), "p")
         least = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
         of_class = materialize(of_class.join(least, "comp").select("p", "q", "component_id"), "of_class")
