@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe, decontam, langid, line_dedup, minhash
-from barloom.llm.common import DOCUMENT_COLUMNS, fresh_path, materialize, table
+from barloom.llm.common import DOCUMENT_COLUMNS, fresh_path, materialize, small, table
 from barloom.llm.queries import vocabulary
 
 #: Documents whose best calibrated language probability is lower are rejected, and those without any letter.
@@ -41,15 +41,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8 or more) stays, that of the smallest doc_id."""
-    gone = minhash.near_duplicates(docs, NEAR_SIMILARITY).where(~F.col("kept")).select("doc_id").distinct()
-    return own_columns(docs).join(materialize(gone, "gone"), "doc_id", "left_anti")
+    """One document of each group of near copies (similarity 0.8 or more) stays, that of the smallest doc_id; of repeated rows one stays.
+    Rows of a null doc_id stay; rows of one doc_id with other texts are judged by their own text each."""
+    docs = own_columns(docs)
+    judged = minhash.judge(docs, NEAR_SIMILARITY).where(F.col("doc_id").isNotNull())
+    gone = judged.where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    repeated = materialize(judged.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash"), "repeated")
+    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    on = lambda x: (keyed["doc_id"] == x["doc_id"]) & (keyed["__text_hash"] == x["text_hash"])
+    gone = small(materialize(gone, "gone"))
+    if not repeated.n_rows:
+        return keyed.join(gone, on(gone), "left_anti").drop("__text_hash")
+    once = keyed.join(small(repeated), on(repeated), "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+    rest = keyed.join(small(repeated), on(repeated), "left_anti").join(gone, on(gone), "left_anti")
+    return rest.unionByName(once).drop("__text_hash")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return own_columns(docs).join(materialize(found, "found"), "doc_id", "left_anti")
+    """Documents that hold a benchmark passage go, those of a null doc_id, too, if any of them does."""
+    docs = own_columns(docs)
+    found = small(materialize(decontam.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "found"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
