@@ -5,13 +5,15 @@
    shared shingle (or back to the end of the text) keeps all of them. So windows of exactly the item's length that
    start at a shared shingle, or close the text, contain the best match of every item.
 3. Every window gets the 64-bit SimHash of its shingles with their multiplicities, by bit-sliced counters.
-4. Multi-index: 8 blocks of 8 bits; if two fingerprints differ in at most ``RADIUS`` = 23 bits, some block differs in at most 2
-   (pigeonhole: 8 * 3 = 24 > 23), so items are filed under all 37 keys within 2 bits of each block and every fingerprint
-   pair within the radius meets, once.
+4. Multi-index: 4 blocks of 16 bits; if two fingerprints differ in at most ``RADIUS`` = 15 bits, some block differs in at most 3
+   (pigeonhole: 4 * 4 = 16 > 15). Items are filed under all keys within 2 bits of each block and windows look up all keys within 1,
+   so every fingerprint pair within the radius meets; of all other items 4 % do. Two texts of n shingles and similarity s make
+   an angle of acos(2 s / (1 + s)): 9.7 bits on average at 0.8 (standard deviation 2.9), so the radius misses 2 % of the pairs at exactly 0.8,
+   0.4 % at 0.85 and 0.01 % at 0.9.
 5. Pairs that met are verified by the exact weighted Jaccard similarity of their shingle multisets.
 
 A shared passage in a third of all documents costs a few windows per document, spread by document. The index of the
-benchmark is broadcast only if a count shows that it is small. Null texts and texts without words match nothing; repeated rows
+benchmark is broadcast only if a count shows that it is small. Rows of a null doc_id are searched as one document. Null texts and texts without words match nothing; repeated rows
 count once; ties go to the earliest window; a benchmark without rows finds nothing; extra columns are ignored. Shingles are
 told apart by 64-bit hashes.
 """
@@ -28,8 +30,8 @@ from barloom.llm.quality_rules import let, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCKS, BLOCK_BITS, NEAR = 8, 8, 2
-RADIUS = BLOCKS * (NEAR + 1) - 1
+BLOCKS, BLOCK_BITS, ITEM_BITS, PROBE_BITS = 4, 16, 2, 1
+RADIUS = BLOCKS * (ITEM_BITS + PROBE_BITS + 1) - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,8 +74,16 @@ def simhash(hashes: Column, planes: int) -> Column:
     return F.aggregate(hashes, start, add, majority)
 
 
-def block(fingerprint: Column, b: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long"))
+def keys(fingerprint: str, within: int) -> Column:
+    """(b, key): every block's keys within so many bits, as two generators over small constants."""
+    masks = [sum(1 << b for b in bits) for n in range(within + 1) for bits in combinations(range(BLOCK_BITS), n)]
+    return F.expr(f"explode(flatten(transform(sequence(0, {BLOCKS - 1}), b -> transform(array({', '.join(map(str, masks))}), m -> named_struct('b', b, 'key', cast(shiftrightunsigned({fingerprint}, {BLOCK_BITS} * b) & {(1 << BLOCK_BITS) - 1} as int) ^ m)))))")
+
+
+def meet(windows: DataFrame, item_rows: DataFrame) -> DataFrame:
+    """Columns of ``windows`` (m, f) and ``item_rows`` (m, g) of all pairs of one length that meet in the index, once for each shared key."""
+    index = small(materialize(item_rows.select("*", keys("g", ITEM_BITS).alias("k")).select("*", "k.b", "k.key").drop("k"), "index"))
+    return windows.select("*", keys("f", PROBE_BITS).alias("k")).select("*", "k.b", "k.key").drop("k").join(index, ["m", "b", "key"])
 
 
 def weighted_jaccard(x: Column, y: Column) -> Column:
@@ -98,21 +108,20 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     # first only the places of shared shingles: the rows of all shingles carry nothing else
     hit = texts.select("doc_id", F.posexplode(shingle_hashes(F.col("text"))).alias("p", "h")).join(shingles, "h")
     hit = materialize(hit.groupBy("doc_id").agg(F.collect_set(F.struct("p", "m")).alias("hits")), "hits")
-    held = texts.join(small(hit.select("doc_id")), "doc_id", "left_semi").select("doc_id", shingle_hashes(F.col("text")).alias("hs")).join(hit, "doc_id")
+    same = lambda x: texts["doc_id"].eqNullSafe(x["doc_id"])
+    holders = small(hit.select("doc_id"))
+    held = texts.join(holders, same(holders), "left_semi").select("doc_id", shingle_hashes(F.col("text")).alias("hs"))
+    held = held.join(hit.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
     placed = held.select("doc_id", "hs", F.explode("hits").alias("x"))
     begin = F.greatest(F.lit(0), F.least(F.col("x.p"), F.size("hs") - F.col("x.m")))
     windows = placed.select("doc_id", F.col("x.m").alias("m"), begin.alias("start"), F.slice("hs", begin + 1, F.col("x.m")).alias("w")).where(F.size("w") > 0)
-    windows = windows.select("*", simhash(F.col("w"), planes).alias("f"))
+    windows = materialize(windows.select("*", simhash(F.col("w"), planes).alias("f")), "windows")
 
     item_rows = items.select("item_id", "m", simhash(F.col("item"), planes).alias("g"))
-    masks = [sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(BLOCK_BITS), n)]
-    keys = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("g"), b).bitwiseXOR(F.lit(x).cast("long")).alias("key")) for b in range(BLOCKS) for x in masks])).alias("k")
-    index = small(materialize(item_rows.select("*", keys).select("item_id", "m", "g", "k.b", "k.key"), "index"))
-    probes = windows.select("*", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("f"), b).alias("key")) for b in range(BLOCKS)])).alias("k")).select("doc_id", "m", "start", "w", "f", "k.b", "k.key")
-    differ = F.col("f").bitwiseXOR(F.col("g"))
-    meets = F.coalesce(*[F.when(F.bit_count(block(differ, b)) <= NEAR, F.lit(b)) for b in range(BLOCKS)])
-    met = probes.join(index, ["m", "b", "key"]).where((F.bit_count(differ) <= RADIUS) & (meets == F.col("b")))
-    met = met.select("doc_id", "item_id", "start", "w").join(small(items.select("item_id", "item")), "item_id")
-    verified = met.select("doc_id", "item_id", "start", weighted_jaccard(F.col("w"), F.col("item")).alias("similarity")).where(F.col("similarity") >= similarity)
+    near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS
+    met = meet(windows.drop("w"), item_rows).where(near).select(F.col("doc_id").alias("of"), "item_id", F.col("start").alias("s"), F.col("m").alias("length"), F.col("f").alias("print")).distinct()
+    own = F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("start")) & (F.col("length") == F.col("m")) & (F.col("print") == F.col("f"))
+    met = windows.join(met, own).select(F.col("doc_id").alias("of"), "item_id", "start", "w").join(small(items.select("item_id", "item")), "item_id")
+    verified = met.select(F.col("of").alias("doc_id"), "item_id", "start", weighted_jaccard(F.col("w"), F.col("item")).alias("similarity")).where(F.col("similarity") >= similarity)
     best = F.max_by("start", F.struct("similarity", -F.col("start"))).alias("start")
     return verified.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best).select("doc_id", "item_id", "similarity", "start")

@@ -70,12 +70,14 @@ def _per_doc(lead: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 SLICE = 1 << 18
+#: Texts counted at once: their dense counts take MOST * SIZE * 8 bytes.
+MOST = 256
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(SIZE, np.int64)
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0), SLICE):
+        for _, _, data, offsets in slices(batch.column(0), SLICE, MOST):
             df += (_counts(data, offsets)[0] > 0).sum(axis=0)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], ["feature", "df"])
@@ -83,7 +85,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, end, data, offsets in slices(batch.column(0), SLICE):
+        for first, end, data, offsets in slices(batch.column(0), SLICE, MOST):
             counts, letters = _counts(data, offsets)
             at = [np.flatnonzero(row).astype(np.int32) for row in counts]
             yield pa.RecordBatch.from_arrays(
@@ -141,14 +143,13 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classe
     return w[:, :SIZE].T.astype(np.float32), w[:, SIZE].astype(np.float32)
 
 
-def fit(docs: DataFrame, learnable: Column, per_language: int = 600, most_languages: int = 200) -> Model | None:
+def fit(docs: DataFrame, learnable: Column, per_language: int = 600) -> Model | None:
     """Fit on the rows of ``docs`` (text, lang) for which ``learnable`` holds; lang and text must not be null.
 
-    ``per_language`` (on average) times the number of languages bounds the sample; of more than ``most_languages``
-    languages the most frequent are learned.
+    ``per_language`` (on average) times the number of languages bounds the sample; every language is learned.
     """
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
     total = sum(sizes.values())
     if not total:
         return None
@@ -162,7 +163,6 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = 600, most_langua
         known.where(F.col("lang").isin(list(sizes)) & (chance < F.element_at(rate, F.col("lang"))))
         .select("text", "lang", (F.pmod(F.xxhash64(F.lit("apart"), "doc_id", "text"), F.lit(5)) == 0).alias("apart"))
         .mapInArrow(_sparse_rows, "at array<int>, n array<float>, lang string, apart boolean")
-        .limit(2 * per_language * len(sizes))
         .toPandas()
     )
     languages = sorted(sizes)
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
         model = shared.value
         for batch in batches:
             text = batch.column(batch.schema.names.index("__text"))
-            for first, end, data, offsets in slices(text, SLICE):
+            for first, end, data, offsets in slices(text, SLICE, MOST):
                 langs, scores = np.full(end - first, UNDETERMINED, object), np.zeros(end - first)
                 if model:
                     counts, letters = _counts(data, offsets)

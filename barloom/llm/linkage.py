@@ -6,9 +6,9 @@ step lists all pairs of a bucket at first:
 1. The bands are tried in groups, a few first. One aggregation per group finds the *open* buckets, those that hold more than
    one component; all others are done without a join, whatever their size. Groups of near copies come together in the
    first, small group of bands, so their buckets in the later groups are closed.
-2. An open bucket of two rows is its one pair. The rows of fuller buckets are looked up, and while they hold more pairs across
-   components than a few per row, turns follow: each component is represented by one row, drawn by hash, and compared
-   with one row of the bucket's largest component.
+2. An open bucket of two rows is its one pair. The rows of fuller buckets are looked up, and while they hold more than ``PAIRS_A_ROW`` pairs
+   across components by row, and turns yield links, turns follow: each component is represented by one row, drawn by
+   hash, and compared with ``HUBS`` rows of the bucket's largest component.
 3. What remains is compared exactly: every pair across components, except those whose sizes or sketches exclude the similarity.
 
 So every pair of a bucket is verified, connected already, or excluded by its bounds. Nothing is capped. Intermediate tables
@@ -26,7 +26,13 @@ from pyspark.sql import functions as F
 from barloom.llm.common import materialize, scratch, small
 
 #: Pairs across components in open buckets, by row of them, up to which they are compared at once.
-PAIRS_A_ROW = 4
+PAIRS_A_ROW = 16
+#: Rows of a bucket's largest component that every other component is compared with in a turn.
+HUBS = 8
+#: Share of a turn's pairs that must link for another turn.
+LEAST_YIELD = 0.04
+#: Tasks that share the comparisons of one bucket.
+SALTS = 16
 
 
 def equal_bits(a: str, b: str, words: int) -> str:
@@ -97,18 +103,20 @@ class Linker:
         ratio = f"least({u}.size, {v}.size) >= {self.least_ratio} * greatest({u}.size, {v}.size)"
         return F.expr(f"{ratio} and ({self.agrees(f'{u}.sketch', f'{v}.sketch')})")
 
-    def confirm(self, held: DataFrame, pairs: DataFrame) -> bool:
-        """Add the pairs that link; whether there are any."""
+    def confirm(self, held: DataFrame, pairs: DataFrame) -> float:
+        """Add the pairs that link; their share."""
         pairs = materialize(pairs, "pairs")
         if not pairs.n_rows:
-            return False
+            return 0.0
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        held = held.join(small(ids), "id", "left_semi")
         left, right = held.toDF("a", "x"), held.toDF("b", "y")
-        found = materialize(pairs.join(right, "b").join(left, "a").where(self.similar(F.col("x"), F.col("y"))).select("a", "b"), "links")
+        found = materialize(small(pairs).join(right, "b").join(left, "a").where(self.similar(F.col("x"), F.col("y"))).select("a", "b"), "links")
         if not found.n_rows:
-            return False
+            return 0.0
         self.links.append(found)
         self.comps = components(reduce(DataFrame.union, self.links))
-        return True
+        return found.n_rows / pairs.n_rows
 
     def group(self, k: int, most_turns: int) -> None:
         rows = self.label(self.items.select("id", F.col("bands")[k].alias("own"))).select("id", "comp", F.explode("own").alias("bucket"))
@@ -122,24 +130,25 @@ class Linker:
         bound = materialize(self.items.select("id", "size", "sketch").join(small(ids), "id").dropDuplicates(["id"]), "bound")
         held = materialize(self.contents(ids), "contents")
         self.confirm(held, self.possible(bound, open_.where("n = 2")))
-        idle = 0
         for turn in range(most_turns + 1):
             at = self.label(members)
-            parts = materialize(at.groupBy("bucket", "comp").agg(F.min_by("id", F.xxhash64(F.lit(turn), "id")).alias("rep"), F.count("*").cast("double").alias("m")), "parts")
-            main = F.max_by(F.struct("comp", "rep"), F.struct("m", F.xxhash64(F.lit(turn), "comp"))).alias("main")
+            reps = [F.min_by("id", F.xxhash64(F.lit(turn), F.lit(i), "id")).alias(f"r{i}") for i in range(HUBS)]
+            parts = materialize(at.groupBy("bucket", "comp").agg(*reps, F.count("*").cast("double").alias("m")), "parts")
+            main = F.max_by(F.struct("comp", *[f"r{i}" for i in range(HUBS)]), F.struct("m", F.xxhash64(F.lit(turn), "comp"))).alias("main")
             over = parts.groupBy("bucket").agg(main, F.count("*").alias("k"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("k > 1")
-            over = materialize(over.select("bucket", F.col("main.comp").alias("main"), F.col("main.rep").alias("hub"), "pairs"), "over", left=F.sum("pairs"))
-            if (over.left or 0) <= PAIRS_A_ROW * members.n_rows or turn == most_turns or idle == 2:
+            over = materialize(over.select("bucket", F.col("main.comp").alias("main"), F.array(*[F.col(f"main.r{i}") for i in range(HUBS)]).alias("hubs"), "pairs"), "over", left=F.sum("pairs"))
+            if (over.left or 0) <= PAIRS_A_ROW * members.n_rows or turn == most_turns:
+                break
+            tries = parts.join(small(over), "bucket").where("comp <> main").select(F.col("r0").alias("u"), F.explode(F.array_distinct("hubs")).alias("v"))
+            if self.confirm(held, self.possible(bound, tries.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))) < LEAST_YIELD:
                 break
-            tries = parts.join(small(over), "bucket").where("comp <> main").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-            idle = 0 if self.confirm(held, self.possible(bound, tries)) else idle + 1
         if not over.n_rows:
             return
         every = materialize(at.join(small(over).select("bucket", "main"), "bucket").join(bound.select("id", F.struct("size", "sketch").alias("k")), "id"), "rest")
-        u = every.where("comp <> main").select("bucket", F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("k").alias("ku"))
-        v = every.select("bucket", F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("k").alias("kv"), "main")
+        u = every.where("comp <> main").select("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("k").alias("ku"))
+        v = every.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("k").alias("kv"), "main")
         across = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
-        pairs = u.join(v, "bucket").where(across & self.may_link("ku", "kv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        pairs = u.join(v, ["bucket", "salt"]).where(across & self.may_link("ku", "kv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         self.confirm(held, pairs)
 
 

@@ -43,16 +43,21 @@ SIMILARITY = 85
 _FULL = U64(2**64 - 1)
 
 
-def banding(similarity: int) -> tuple[int, int, int]:
-    """(rows, bands, least agreement) for links of ``similarity`` per cent or more. A pair of 85 agrees in 1894 of 2048 bits
-    on average, with a standard deviation of 12."""
+def banding(similarity: int) -> tuple[int, int]:
+    """(rows, bands) for links of ``similarity`` per cent or more."""
     s = similarity / 100
     if not 50 <= similarity <= 95:  # beyond, the bands may need more coordinates than there are
         raise ValueError("similarity must be from 50 to 95 per cent")
     rows = round(log(0.85**8) / log(s))  # a band is shared about as often as at 0.85
-    bands = ceil(log(MISSED) / log(1 - s**rows))
-    p = (1 + s) / 2
-    return rows, bands, int(BINS * p - 5 * sqrt(BINS * p * (1 - p)))
+    return rows, ceil(log(MISSED) / log(1 - s**rows))
+
+
+def agreement(a: str, b: str, similarity: int) -> str:
+    """SQL: whether two sketches agree in as many bits as a pair of ``similarity`` must, first in a quarter of them. A pair of 85 agrees in
+    1894 of 2048 bits on average, with a standard deviation of 12; the bounds lie five of these below."""
+    p = (1 + similarity / 100) / 2
+    least = {w: int(64 * w * p - 5 * sqrt(64 * w * p * (1 - p))) for w in (SKETCH_WORDS // 4, SKETCH_WORDS)}
+    return " and ".join(f"{equal_bits(a, b, w)} >= {n}" for w, n in least.items())
 
 
 def sketch(hashes: np.ndarray, doc: np.ndarray, n_docs: int, bins: int = BINS) -> np.ndarray:
@@ -119,7 +124,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def judge(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """As ``near_duplicates``, with text_hash, which tells rows of one doc_id with other texts apart."""
-    rows, bands, least_agreement = banding(similarity)
+    rows, bands = banding(similarity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     signed = texts.mapInArrow(partial(_signatures, rows=rows, bands=bands), "id long, text_hash long, size long, p long, q long, sketch array<long>, bands array<long>")
     with scratch(docs.sparkSession) as tables:
@@ -138,7 +143,7 @@ def judge(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             both = F.size(F.array_intersect(x, y))
             return (both > 0) & (100 * both >= similarity * (F.size(x) + F.size(y) - both))
 
-        comps = link(items, contents, similar, similarity / 100, lambda a, b: f"{equal_bits(a, b, SKETCH_WORDS)} >= {least_agreement}", 2)
+        comps = link(items, contents, similar, similarity / 100, lambda a, b: agreement(a, b, similarity), 2)
         of_class = classes.join(small(comps.withColumnRenamed("id", "p")), "p")
         least = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
         of_class = materialize(of_class.join(least, "comp").select("p", "q", "component_id"), "of_class")

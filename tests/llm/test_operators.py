@@ -188,7 +188,7 @@ def test_decontamination(spark, docs, empty):
     bench = [(1, item), (2, "short one here"), (3, None), (4, ""), (5, " ".join(["same"] * 40)), (5, " ".join(["same"] * 40))]
     planted = {1000: "before it " + "".join(c.upper() if c.isascii() else c for c in item) + " after it", 1001: " ".join([*w[:30], "x", *w[30:]]), 1002: " ".join(w[:25]), 1003: "short one here", 1004: " ".join([*w[:4], "z", *w[5:]]), 1005: "same " * 300}
     extra = [(k, v, *data.rows()[5][2:]) for k, v in planted.items()]
-    every = docs.union(data.frame(spark, extra))
+    every = docs.union(data.frame(spark, [*extra, (None, planted[1000], *data.rows()[5][2:])]))
     benchmark = spark.createDataFrame(bench, "item_id long, text string").withColumn("m", F.lit(1))
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.find(every, benchmark).collect()}
     want = {}
@@ -206,6 +206,7 @@ def test_decontamination(spark, docs, empty):
                 best = max(best, both / (len(own) + m - both) if own else 0)
             if best >= 0.8:
                 want[(d, i)] = round(best, 9)
+    want[(None, 1)] = want[(1000, 1)]  # rows of a null doc_id are one document
     assert got == want and (1000, 1) in got and (1002, 1) not in got and (1005, 5) in got
     assert decontam.find(empty, benchmark).count() == 0 and decontam.find(docs, benchmark.limit(0)).count() == 0
 
@@ -219,6 +220,18 @@ def test_simhash_is_the_majority(spark):
         assert r.f % 2**64 == want
 
 
+def test_index_meets_few_items_and_all_within_the_radius(spark):
+    rng = random.Random(3)
+    item_prints = [rng.getrandbits(64) - 2**63 for _ in range(2000)]
+    near = [(i, sum(1 << b for b in rng.sample(range(64), decontam.RADIUS))) for i in range(0, 2000, 40)]
+    items = spark.createDataFrame([(i, 46, g) for i, g in enumerate(item_prints)], "item_id long, m int, g long")
+    prints = [((item_prints[i] % 2**64) ^ x) for i, x in near]
+    windows = spark.createDataFrame([(i, 46, f - 2**64 if f >= 2**63 else f) for (i, _), f in zip(near, prints)], "w long, m int, f long")
+    met = {(r.w, r.item_id) for r in decontam.meet(windows, items).select("w", "item_id").distinct().collect()}
+    assert {(i, i) for i, _ in near} <= met
+    assert len(met) < 0.06 * len(near) * len(item_prints)
+
+
 # 7 MinHash
 
 
@@ -371,3 +384,19 @@ def test_chains_of_short_similar_lines_are_one(spark):
     texts = ["\n".join(x[:n] for n in range(13, 21)) for x in whole]
     got = {r.doc_id: len(r.dropped) for r in line_dedup.dropped(_lines(spark, texts)).collect()}
     assert got == dict.fromkeys(range(400), 7)
+
+
+def test_band_recall(spark):
+    """Pairs of lines of similarity 0.8 to 0.9, of 30 to 400 characters: at least 95 % lose their second line."""
+    rng, texts = random.Random(12), []
+    while len(texts) < 600:
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(30, 400))).strip()
+        y = list(x)
+        for _ in range(max(1, len(x) // 60)):
+            y[rng.randrange(len(y))] = "#"
+        y = "".join(y) + "!" * rng.randint(0, 2)
+        own, other = ({u[i : i + 5] for i in range(len(u) - 4)} for u in (x, y))
+        if 0.8 <= data.jaccard(own, other) <= 0.9:
+            texts += [x, y]
+    lost = {r.doc_id for r in line_dedup.dropped(_lines(spark, texts)).collect()}
+    assert lost <= set(range(1, 600, 2)) and len(lost) >= 0.95 * 300
