@@ -47,6 +47,12 @@ def score(model: PipelineModel, df: DataFrame, features: list[str], out: str = "
     return scored.select(*df.columns, p)
 
 
+def stored(model: PipelineModel, path: str) -> PipelineModel:
+    """``model`` as read back from ``path``, where it is written (an earlier one there is replaced)."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def inner_folds(rows: int, folds: int, confidence: float) -> int:
     """Folds such that each is larger than a conformal quantile needs; 0 if two are too many already."""
     need = math.ceil(max(1 / confidence, 1 / (1 - confidence)) + 1)

@@ -25,8 +25,12 @@ from barloom.streaming import live
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barloom-")
+    """A fresh folder that all executors see; a local one only where the session names none and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="barloom-")
     return f"{base.rstrip('/')}/barloom/{uuid.uuid4().hex}/{name}"
 
 
@@ -111,14 +115,24 @@ QUERIES["conformal_mask"] = lambda spark, sf: ml.conformal_mask(_labelled(spark,
 QUERIES["oob_mask"] = lambda spark, sf: ml.oob_mask(_labelled(spark, sf), FEATURES, "label", 3).groupBy("symbol", "keep").agg(F.count("*").alias("n_bars"))
 
 
-def train_score(spark, sf) -> DataFrame:
-    """Signal and gate models on the training rows, probabilities on all rows, trades from both, and their score."""
+def out_of_sample(spark, sf, share: float = 0.7) -> DataFrame:
+    """Probabilities p and q of the signal and the gate model on the bars after the first ``share`` of every symbol's time; the models
+    learn from the bars before, are written, and score as read back."""
     rows = _labelled(spark, sf)
-    sure = rows.where("label in (0.0, 1.0)")
-    main = ml.train(sure, FEATURES, "label", 5)
-    gate = ml.train(rows.withColumn("gate", (F.col("label") != 2.0).cast("double")), FEATURES, "gate", 5)
-    scored_rows = ml.score(gate, ml.score(main, rows, FEATURES, "p"), FEATURES, "q")
-    return bt.trade_stats(bt.backtest(scored_rows.select("symbol", "bar", "open", F.col("p").cast("double").alias("p"), F.col("q").cast("double").alias("q")), 0.5, 0.3))
+    seconds = F.unix_timestamp(F.col("bar").cast("timestamp"))
+    ends = rows.groupBy("symbol").agg((F.min(seconds) + share * (F.max(seconds) - F.min(seconds))).alias("cut"))
+    path = scratch(spark, "rows")
+    rows.join(ends, "symbol").withColumn("late", seconds > F.col("cut")).drop("cut").write.parquet(path)
+    early, late = (spark.read.parquet(path).where(x).drop("late") for x in ("not late", "late"))
+    main = ml.stored(ml.train(early.where("label in (0.0, 1.0)"), FEATURES, "label", 5), scratch(spark, "main"))
+    gate = ml.stored(ml.train(early.withColumn("gate", (F.col("label") != 2.0).cast("double")), FEATURES, "gate", 5), scratch(spark, "gate"))
+    scored_rows = ml.score(gate, ml.score(main, late, FEATURES, "p"), FEATURES, "q")
+    return scored_rows.select("symbol", "bar", "open", F.col("p").cast("double").alias("p"), F.col("q").cast("double").alias("q"))
+
+
+def train_score(spark, sf) -> DataFrame:
+    """Trades of the bars that the models have not seen, and their score."""
+    return bt.trade_stats(bt.backtest(out_of_sample(spark, sf), 0.5, 0.3))
 
 
 QUERIES["train_score"] = train_score
