@@ -31,15 +31,20 @@ PAIRS_A_ROW = 16
 HUBS = 8
 #: Share of a turn's pairs that must link for another turn.
 LEAST_YIELD = 0.04
-#: Tasks that share the comparisons of one bucket.
-SALTS = 16
+#: Rows of a bucket by task that compares them with the whole bucket.
+ROWS_A_SALT = 256
 
 
 def equal_bits(a: str, b: str, words: int) -> str:
-    """SQL: equal bits of two sketches held as arrays of ``words`` longs."""
+    """SQL: equal bits in the first ``words`` longs of two sketches. For a few: written out, a method past 8000 bytes is never compiled by the JVM."""
     return f"{64 * words} - " + " - ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(words))
 
 
+def all_equal_bits(a: str, b: str, words: int) -> str:
+    """SQL: equal bits of two whole sketches of ``words`` longs."""
+    return f"{64 * words} - aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, comp): the smallest id reachable from every id of ``edges`` (a, b), by distributed union-find.
 
@@ -135,8 +140,8 @@ class Linker:
             reps = [F.min_by("id", F.xxhash64(F.lit(turn), F.lit(i), "id")).alias(f"r{i}") for i in range(HUBS)]
             parts = materialize(at.groupBy("bucket", "comp").agg(*reps, F.count("*").cast("double").alias("m")), "parts")
             main = F.max_by(F.struct("comp", *[f"r{i}" for i in range(HUBS)]), F.struct("m", F.xxhash64(F.lit(turn), "comp"))).alias("main")
-            over = parts.groupBy("bucket").agg(main, F.count("*").alias("k"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("k > 1")
-            over = materialize(over.select("bucket", F.col("main.comp").alias("main"), F.array(*[F.col(f"main.r{i}") for i in range(HUBS)]).alias("hubs"), "pairs"), "over", left=F.sum("pairs"))
+            over = parts.groupBy("bucket").agg(main, F.count("*").alias("k"), F.ceil(F.sum("m") / ROWS_A_SALT).cast("int").alias("salts"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("k > 1")
+            over = materialize(over.select("bucket", F.col("main.comp").alias("main"), F.array(*[F.col(f"main.r{i}") for i in range(HUBS)]).alias("hubs"), "salts", "pairs"), "over", left=F.sum("pairs"))
             if (over.left or 0) <= PAIRS_A_ROW * members.n_rows or turn == most_turns:
                 break
             tries = parts.join(small(over), "bucket").where("comp <> main").select(F.col("r0").alias("u"), F.explode(F.array_distinct("hubs")).alias("v"))
@@ -144,11 +149,11 @@ class Linker:
                 break
         if not over.n_rows:
             return
-        every = materialize(at.join(small(over).select("bucket", "main"), "bucket").join(bound.select("id", F.struct("size", "sketch").alias("k")), "id"), "rest")
-        u = every.where("comp <> main").select("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("k").alias("ku"))
-        v = every.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("k").alias("kv"), "main")
+        every = materialize(at.join(small(over).select("bucket", "main", "salts"), "bucket").join(bound.select("id", F.struct("size", "sketch").alias("k")), "id"), "rest")
+        u = every.where("comp <> main").select("bucket", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("k").alias("ku"))
+        v = every.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("k").alias("kv"), "main")
         across = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
-        pairs = u.join(v, ["bucket", "salt"]).where(across & self.may_link("ku", "kv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        pairs = u.hint("merge").join(v, ["bucket", "salt"]).where(across & self.may_link("ku", "kv")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         self.confirm(held, pairs)
 
 

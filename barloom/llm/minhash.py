@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import materialize, scratch, small
-from barloom.llm.linkage import equal_bits, link
+from barloom.llm.linkage import all_equal_bits, equal_bits, link
 from barloom.llm.textvec import U64, Words, distinct, mix, shingles, slices
 
 BINS = 2048
@@ -57,7 +57,8 @@ def agreement(a: str, b: str, similarity: int) -> str:
     1894 of 2048 bits on average, with a standard deviation of 12; the bounds lie five of these below."""
     p = (1 + similarity / 100) / 2
     least = {w: int(64 * w * p - 5 * sqrt(64 * w * p * (1 - p))) for w in (SKETCH_WORDS // 4, SKETCH_WORDS)}
-    return " and ".join(f"{equal_bits(a, b, w)} >= {n}" for w, n in least.items())
+    quarter, whole = least
+    return f"{equal_bits(a, b, quarter)} >= {least[quarter]} and {all_equal_bits(a, b, whole)} >= {least[whole]}"
 
 
 def sketch(hashes: np.ndarray, doc: np.ndarray, n_docs: int, bins: int = BINS) -> np.ndarray:
