@@ -84,11 +84,12 @@ class Linker:
     are equal but for their place.
 
     ``contents``: takes ids, returns (id, content), one row per id. ``similar``: whether two contents link. ``least_ratio``: smallest
-    size ratio of a linked pair; ``agrees``: SQL, whether two sketches may belong to one.
+    size ratio of a linked pair; ``agrees``: SQL, whether two structs of size, sketch and what ``finer`` adds may belong to one.
+    ``finer``: takes (id, content) of open buckets, returns (id, size, ...), bounds that are too dear for all items.
     """
 
-    def __init__(self, items: DataFrame, contents: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column], least_ratio: float, agrees: Callable[[str, str], str]):
-        self.items, self.contents, self.similar, self.least_ratio, self.agrees = items, contents, similar, least_ratio, agrees
+    def __init__(self, items: DataFrame, contents: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column], least_ratio: float, agrees: Callable[[str, str], str], finer: Callable[[DataFrame], DataFrame] | None = None):
+        self.items, self.contents, self.similar, self.least_ratio, self.agrees, self.finer = items, contents, similar, least_ratio, agrees, finer
         self.links: list[DataFrame] = []
         self.comps: DataFrame | None = None
 
@@ -100,13 +101,13 @@ class Linker:
 
     def possible(self, bound: DataFrame, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) that sizes and sketches allow."""
-        a, b = (bound.select(F.col("id").alias(x), F.struct("size", "sketch").alias("k" + x)) for x in "ab")
+        a, b = (bound.select(F.col("id").alias(x), F.col("k").alias("k" + x)) for x in "ab")
         near = pairs.select("a", "b").distinct().join(b, "b").join(a, "a")
         return near.where(self.may_link("ka", "kb")).select("a", "b")
 
     def may_link(self, u: str, v: str) -> Column:
         ratio = f"least({u}.size, {v}.size) >= {self.least_ratio} * greatest({u}.size, {v}.size)"
-        return F.expr(f"{ratio} and ({self.agrees(f'{u}.sketch', f'{v}.sketch')})")
+        return F.expr(f"{ratio} and ({self.agrees(u, v)})")
 
     def confirm(self, held: DataFrame, pairs: DataFrame) -> float:
         """Add the pairs that link; their share."""
@@ -132,8 +133,11 @@ class Linker:
         ids = materialize(open_.where("n = 2").select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct(), "ids")
         if not ids.n_rows:
             return
-        bound = materialize(self.items.select("id", "size", "sketch").join(small(ids), "id").dropDuplicates(["id"]), "bound")
         held = materialize(self.contents(ids), "contents")
+        bound = self.items.select("id", "size", "sketch").join(small(ids), "id").dropDuplicates(["id"])
+        if self.finer is not None:
+            bound = bound.drop("size").join(self.finer(held), "id")
+        bound = materialize(bound.select("id", F.struct(*[c for c in bound.columns if c != "id"]).alias("k")), "bound")
         self.confirm(held, self.possible(bound, open_.where("n = 2")))
         for turn in range(most_turns + 1):
             at = self.label(members)
@@ -149,7 +153,7 @@ class Linker:
                 break
         if not over.n_rows:
             return
-        every = materialize(at.join(small(over).select("bucket", "main", "salts"), "bucket").join(bound.select("id", F.struct("size", "sketch").alias("k")), "id"), "rest")
+        every = materialize(at.join(small(over).select("bucket", "main", "salts"), "bucket").join(bound, "id"), "rest")
         u = every.where("comp <> main").select("bucket", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("k").alias("ku"))
         v = every.select("bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("k").alias("kv"), "main")
         across = (F.col("cu") != F.col("cv")) & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
@@ -157,9 +161,9 @@ class Linker:
         self.confirm(held, pairs)
 
 
-def link(items: DataFrame, contents, similar, least_ratio: float, agrees, groups: int, most_turns: int = 10) -> DataFrame:
+def link(items: DataFrame, contents, similar, least_ratio: float, agrees, groups: int, most_turns: int = 10, finer=None) -> DataFrame:
     """(id, comp) of the items that link with another one; see ``Linker``."""
-    linker = Linker(items, contents, similar, least_ratio, agrees)
+    linker = Linker(items, contents, similar, least_ratio, agrees, finer)
     with scratch(items.sparkSession) as tables:
         for k in range(groups):
             linker.group(k, most_turns)

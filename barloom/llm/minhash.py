@@ -53,11 +53,12 @@ def banding(similarity: int) -> tuple[int, int]:
 
 
 def agreement(a: str, b: str, similarity: int) -> str:
-    """SQL: whether two sketches agree in as many bits as a pair of ``similarity`` must, first in a quarter of them. A pair of 85 agrees in
+    """SQL: whether the sketches of two structs agree in as many bits as a pair of ``similarity`` must, first in a quarter of them. A pair of 85 agrees in
     1894 of 2048 bits on average, with a standard deviation of 12; the bounds lie five of these below."""
     p = (1 + similarity / 100) / 2
     least = {w: int(64 * w * p - 5 * sqrt(64 * w * p * (1 - p))) for w in (SKETCH_WORDS // 4, SKETCH_WORDS)}
     quarter, whole = least
+    a, b = f"{a}.sketch", f"{b}.sketch"
     return f"{equal_bits(a, b, quarter)} >= {least[quarter]} and {all_equal_bits(a, b, whole)} >= {least[whole]}"
 
 
