@@ -85,7 +85,7 @@ class Linker:
 
     ``contents``: takes ids, returns (id, content), one row per id. ``similar``: whether two contents link. ``least_ratio``: smallest
     size ratio of a linked pair; ``agrees``: SQL, whether two structs of size, sketch and what ``finer`` adds may belong to one.
-    ``finer``: takes (id, content) of open buckets, returns (id, size, ...), bounds that are too dear for all items.
+    ``finer``: takes (id, content) of open buckets of more than two rows, returns (id, ...), bounds that are too dear for all items.
     """
 
     def __init__(self, items: DataFrame, contents: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column], least_ratio: float, agrees: Callable[[str, str], str], finer: Callable[[DataFrame], DataFrame] | None = None):
@@ -136,7 +136,7 @@ class Linker:
         held = materialize(self.contents(ids), "contents")
         bound = self.items.select("id", "size", "sketch").join(small(ids), "id").dropDuplicates(["id"])
         if self.finer is not None:
-            bound = bound.drop("size").join(self.finer(held), "id")
+            bound = bound.join(self.finer(held.join(small(materialize(members.select("id").distinct(), "crowded")), "id", "left_semi")), "id", "left")
         bound = materialize(bound.select("id", F.struct(*[c for c in bound.columns if c != "id"]).alias("k")), "bound")
         self.confirm(held, self.possible(bound, open_.where("n = 2")))
         for turn in range(most_turns + 1):

@@ -400,3 +400,24 @@ def test_band_recall(spark):
             texts += [x, y]
     lost = {r.doc_id for r in line_dedup.dropped(_lines(spark, texts)).collect()}
     assert lost <= set(range(1, 600, 2)) and len(lost) >= 0.95 * 300
+
+
+def test_shingle_maps_lose_no_similar_pair(spark):
+    rng, rows = random.Random(1), []
+    for k in range(400):
+        letters = rng.choice(["ab", "abcdefgh xyz"])
+        first = [rng.choice(letters) for _ in range(rng.choice([3, 6, 12, 40, 120, 400, 2500]))]
+        second = list(first)
+        for _ in range(rng.randint(0, max(1, len(first) // 25))):
+            second[rng.randrange(len(first))] = rng.choice(letters)
+        rows += [(2 * k, "".join(first)), (2 * k + 1, "".join(second))]
+    maps = line_dedup.shingle_maps(spark.createDataFrame(rows, "id long, content string")).withColumn("sketch", F.array_repeat(F.lit(0), line_dedup.BINS))
+    sides = [maps.select(F.expr(f"id div 2 as {x}pair"), F.expr(f"id % 2 as {x}side"), F.struct("sketch", "most", "filled", "map").alias(x)) for x in "uv"]
+    pairs = sides[0].join(sides[1], F.expr("upair = vpair and uside <> vside")).select("upair", F.expr(line_dedup._agrees("u", "v", 0.8)).alias("may"))
+    may = {}
+    for pair, one in pairs.collect():
+        may.setdefault(pair, []).append(one)
+    shingles = lambda t: {t[i : i + 5] for i in range(max(1, len(t) - 4))}
+    links = [k for k in range(400) for a, b in [(shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1]))] if 5 * len(a & b) >= 4 * len(a | b)]
+    assert len(links) > 100 and all(may[k] == [True, True] for k in links)
+    assert sum(not all(m) for m in may.values()) > 50
