@@ -35,13 +35,21 @@ def train(df: DataFrame, features: list[str], label: str, trees: int = 20, seed:
     return Pipeline(stages=[assembler, model]).fit(ready)
 
 
-def linear(df: DataFrame, features: list[str], label: str) -> PipelineModel:
+def linear(df: DataFrame, features: list[str], label: str) -> Column:
+    """The positive-class probability of a logistic regression, as an expression over the features. The fitted model itself holds a summary and with
+    it the session, which no task can carry once a query of that session was observed."""
     ready = balanced(df.dropna(subset=features), label).withColumn(label, F.col(label).cast("double"))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), LogisticRegression(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=30, regParam=0.01)]).fit(ready)
+    fitted = LogisticRegression(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=30, regParam=0.01).fit(VectorAssembler(inputCols=features, outputCol="__x").transform(ready))
+    margin = F.lit(float(fitted.intercept))
+    for c, w in zip(features, fitted.coefficients):
+        margin = margin + F.lit(float(w)) * F.col(c)
+    return 1 / (1 + F.exp(-margin))
 
 
-def score(model: PipelineModel, df: DataFrame, features: list[str], out: str = "p") -> DataFrame:
+def score(model: PipelineModel | Column, df: DataFrame, features: list[str], out: str = "p") -> DataFrame:
     """Adds the positive-class probability, as a float; rows without all features are left out."""
+    if isinstance(model, Column):
+        return df.dropna(subset=features).select("*", model.cast("float").alias(out))
     scored = model.transform(df.dropna(subset=features))
     p = vector_to_array(F.col("probability"))[1].cast("float").alias(out)
     return scored.select(*df.columns, p)
