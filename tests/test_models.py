@@ -22,3 +22,9 @@ def test_conformal_mask_after_an_observation(rows):
     kept = ml.conformal_mask(rows, ["x"], "label").collect()
     assert len(kept) == 140
     assert {r["keep"] for r in kept} == {0, 1}
+
+
+def test_oob_mask_after_an_observation(rows):
+    kept = ml.oob_mask(rows, ["x"], "label", 3).collect()
+    assert len(kept) == 140
+    assert {r["keep"] for r in kept} == {1}  # a split that a line can find has no errors
