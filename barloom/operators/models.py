@@ -27,11 +27,18 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.element_at(F.create_map(*[x for k, v in n.items() for x in (F.lit(float(k)), F.lit(total / (len(n) * v)))]), F.col(label).cast("double")))
 
 
-def train(df: DataFrame, features: list[str], label: str, trees: int = 20, seed: int = 1) -> PipelineModel:
-    """Gradient-boosted trees with balanced weights and a fifth of every class for validation."""
-    ready = balanced(df.dropna(subset=features), label).withColumn("held", chance(seed, "symbol", "bar", label) < 0.2).withColumn(label, F.col(label).cast("double"))
+def train(df: DataFrame, features: list[str], label: str, trees: int = 20, seed: int = 1) -> PipelineModel | None:
+    """Gradient-boosted trees with balanced weights and a fifth of every class for validation; a sample too small for both parts is learned
+    without validation, and one without rows gives no model."""
+    own = df.dropna(subset=features).withColumn("held", chance(seed, "symbol", "bar", label) < 0.2)
+    parts = {r["held"] for r in own.select("held").distinct().collect()}
+    if not parts:
+        return None
+    ready = balanced(own, label).withColumn(label, F.col(label).cast("double"))
     assembler = VectorAssembler(inputCols=features, outputCol="__x")
-    model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="weight", validationIndicatorCol="held", maxIter=trees, maxDepth=4, seed=seed)
+    model = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=trees, maxDepth=4, seed=seed)
+    if len(parts) == 2:
+        model.setValidationIndicatorCol("held")
     return Pipeline(stages=[assembler, model]).fit(ready)
 
 
@@ -46,8 +53,10 @@ def linear(df: DataFrame, features: list[str], label: str) -> Column:
     return 1 / (1 + F.exp(-margin))
 
 
-def score(model: PipelineModel | Column, df: DataFrame, features: list[str], out: str = "p") -> DataFrame:
-    """Adds the positive-class probability, as a float; rows without all features are left out."""
+def score(model: PipelineModel | Column | None, df: DataFrame, features: list[str], out: str = "p") -> DataFrame:
+    """Adds the positive-class probability, as a float, null without a model; rows without all features are left out."""
+    if model is None:
+        model = F.lit(None)
     if isinstance(model, Column):
         return df.dropna(subset=features).select("*", model.cast("float").alias(out))
     scored = model.transform(df.dropna(subset=features))
@@ -55,8 +64,10 @@ def score(model: PipelineModel | Column, df: DataFrame, features: list[str], out
     return scored.select(*df.columns, p)
 
 
-def stored(model: PipelineModel, path: str) -> PipelineModel:
+def stored(model: PipelineModel | None, path: str) -> PipelineModel | None:
     """``model`` as read back from ``path``, where it is written (an earlier one there is replaced)."""
+    if model is None:
+        return None
     model.write().overwrite().save(path)
     return PipelineModel.load(path)
 
