@@ -328,6 +328,17 @@ def test_toxicity_held_out(spark, docs, empty):
     assert toxicity.fit(docs, labels.limit(0), F.lit(True)) is None and toxicity.score(empty, None, ["doc_id"]).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    n = 6000
+    rows = [(i, f"q{i * 7919} {'vile' if i % 3 == 0 else 'calm'}", "en") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels, F.lit(True))
+    known = (net.embeddings[1 : (1 << toxicity.BITS) + 1] != 0).any(axis=1).sum()
+    assert known > 3300  # about 4000 rows are not kept apart, a few words share a row
+    assert toxicity.score(docs, net, ["doc_id"]).where("predicted <> if(doc_id % 3 = 0, 1, 0)").count() == 0
+
+
 # 10 lines
 
 
