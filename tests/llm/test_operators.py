@@ -342,6 +342,17 @@ def test_toxicity_learns_from_every_labelled_row(spark):
 # 10 lines
 
 
+def test_line_contents_are_dealt_once(spark, monkeypatch):
+    """Contents joined by a shuffle keep its dealing: repeats of a line in its first document go without another one."""
+    seen, link = [], line_dedup.link
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "link", lambda items, contents, *a, **k: seen.append(contents(items.select("id")).select("id", "content")._jdf.queryExecution().optimizedPlan().toString()) or link(items, contents, *a, **k))
+    rows = [(1, "a line that stands here twice\na line that stands here twice\nanother one of its own"), (2, "a line that stands here twice\nsomething else again")]
+    found = line_dedup.dropped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["dropped"] for r in found} == {1: [1], 2: [0]}
+    assert seen and all("Aggregate [id#" in p and ", doc_id#" in p.split("Aggregate [id#", 1)[1].split("]", 1)[0] for p in seen)
+
+
 def test_line_dedup(docs, empty):
     rows = [r for r in data.rows() if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values())
