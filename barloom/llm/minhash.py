@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize, scratch, small
+from barloom.llm.common import fitted, materialize, scratch, small
 from barloom.llm.linkage import all_equal_bits, equal_bits, link
 from barloom.llm.textvec import U64, Words, distinct, mix, shingles, slices
 
@@ -131,32 +131,32 @@ def judge(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     signed = texts.mapInArrow(partial(_signatures, rows=rows, bands=bands), "id long, text_hash long, size long, p long, q long, sketch array<long>, bands array<long>")
     with scratch(docs.sparkSession) as tables:
         signed = materialize(signed, "signatures")
-        classes = materialize(signed.where("size > 0 and id is not null").groupBy("p", "q").agg(F.min("id").alias("rep")), "classes")
+        classes = materialize(signed.where("size > 0 and id is not null").groupBy("p", "q").agg(F.min("id").alias("rep")), "classes", signed.n_rows)
         # a class stands for itself by the row of its smallest doc_id, and is named by p
         items = signed.where("size > 0").join(classes.select("p", "q", F.col("rep").alias("id")), ["p", "q", "id"]).select(F.col("p").alias("id"), "size", "sketch", "bands")
-        items = materialize(items.withColumn("bands", F.array(F.slice("bands", 1, FIRST_BANDS), F.slice("bands", FIRST_BANDS + 1, bands))), "items")
+        items = materialize(items.withColumn("bands", F.array(F.slice("bands", 1, FIRST_BANDS), F.slice("bands", FIRST_BANDS + 1, bands))), "items", signed.n_rows)
 
         def contents(ids: DataFrame) -> DataFrame:
             reps = materialize(classes.select(F.col("p").alias("id"), F.col("rep").alias("doc_id")).join(small(ids), "id"), "reps")
-            needed = texts.join(small(reps.select("doc_id")), "doc_id", "left_semi").select("text")
+            needed = texts.join(small(reps.select("doc_id"), reps.n_rows), "doc_id", "left_semi").select("text")
             return needed.mapInArrow(_set_batches, "id long, content array<long>").join(small(ids), "id", "left_semi").dropDuplicates(["id"])
 
         def similar(x: Column, y: Column) -> Column:
             both = F.size(F.array_intersect(x, y))
             return (both > 0) & (100 * both >= similarity * (F.size(x) + F.size(y) - both))
 
-        comps = link(items, contents, similar, similarity / 100, lambda a, b: agreement(a, b, similarity), 2)
-        of_class = classes.join(small(comps.withColumnRenamed("id", "p")), "p")
+        comps = link(items, contents, similar, similarity / 100, lambda a, b: agreement(a, b, similarity), [n * items.n_rows for n in (FIRST_BANDS, bands - FIRST_BANDS)])
+        of_class = fitted(classes).join(small(comps.withColumnRenamed("id", "p"), comps.n_rows), "p")
         least = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        of_class = materialize(of_class.join(least, "comp").select("p", "q", "component_id"), "of_class")
-        copies = classes.join(small(of_class), ["p", "q"], "left").select("p", "q", F.coalesce("component_id", "rep").alias("component_id"))
+        of_class = materialize(of_class.join(least, "comp").select("p", "q", "component_id"), "of_class", classes.n_rows)
+        copies = fitted(classes).join(small(of_class), ["p", "q"], "left").select("p", "q", F.coalesce("component_id", "rep").alias("component_id"))
         out = (
             signed.select("id", "text_hash", "size", "p", "q")
             .join(copies, ["p", "q"], "left")
             .select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "text_hash")
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
         )
-        return tables.keep(materialize(out, "judged"))
+        return tables.keep(materialize(out, "judged", signed.n_rows))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:

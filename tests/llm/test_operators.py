@@ -291,6 +291,45 @@ def test_components(spark):
     got = {r.id: r.comp for r in linkage.components(df).collect()}
     assert got == {**dict.fromkeys((9, 8, 7, 6, 5, 1), 1), **dict.fromkeys((20, 21, 22), 20), 30: 30}
     assert linkage.components(df.limit(0)).count() == 0
+    assert {r.id: r.comp for r in linkage.few_components(df).collect()} == got
+
+
+def test_union_find_of_random_edges():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for n in (1, 5, 40, 400):
+        edges = [(rng.randrange(-n, n), rng.randrange(-n, n)) for _ in range(n)]
+        ids, comp = linkage.union_find(*np.array(edges).T)
+        assert dict(zip(ids.tolist(), comp.tolist())) == data.components({x for e in edges for x in e}, edges)
+
+
+def test_small_tables_take_few_tasks_whatever_the_shuffle_partitions(spark, monkeypatch):
+    """A chain of near copies in a session of 64 shuffle partitions that are never coalesced: no table is written by more tasks than its rows need."""
+    files = {}
+
+    def counted(df, name, *args, f=common.materialize, **metrics):
+        out = f(df, name, *args, **metrics)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    for module in (linkage, minhash):
+        monkeypatch.setattr(module, "materialize", counted)
+    w = data.prose(120, 5).split()
+    texts = [(i, " ".join([*w[: i % 120], f"edit{i}", *w[i % 120 + 1 :]])) for i in range(100)]
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).count() == 100
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    del files["signatures"]  # as many as the documents have
+    assert {"open", "members", "parts", "labels", "judged"} <= set(files) and max(files.values()) <= 2
 
 
 # 8 licenses
