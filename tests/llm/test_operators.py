@@ -306,6 +306,17 @@ def test_union_find_of_random_edges():
         assert dict(zip(ids.tolist(), comp.tolist())) == data.components({x for e in edges for x in e}, edges)
 
 
+def test_scratch_releases_what_python_holds_in_cycles(spark):
+    import weakref
+
+    with common.scratch(spark):
+        held = [spark.range(3)]
+        held.append(held)
+        left = weakref.ref(held[0])
+        del held
+    assert left() is None
+
+
 def test_small_tables_take_few_tasks_whatever_the_shuffle_partitions(spark, monkeypatch):
     """A chain of near copies in a session of 64 shuffle partitions that are never coalesced: no table is written by more tasks than its rows need."""
     files = {}
