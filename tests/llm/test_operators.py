@@ -493,3 +493,33 @@ def test_shingle_maps_lose_no_similar_pair(spark):
     links = [k for k in range(400) for a, b in [(shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1]))] if 5 * len(a & b) >= 4 * len(a | b)]
     assert len(links) > 100 and all(may[k] == [True, True] for k in links)
     assert sum(not all(m) for m in may.values()) > 50
+
+
+def test_brief_sketches_pass_all_that_agree_in_enough_bins(spark):
+    rng, rows = random.Random(4), []
+    for k in range(200):
+        first = [rng.randrange(1 << 24) for _ in range(line_dedup.BINS)]
+        other = set(rng.sample(range(line_dedup.BINS), rng.choice([0, 6, 12, 13, 32])))
+        rows += [(k, first), (k, [rng.randrange(1 << 24) if i in other else x for i, x in enumerate(first)])]
+    got = spark.createDataFrame(rows, "pair long, bins array<int>").select("pair", line_dedup.brief().alias("brief")).groupBy("pair").agg(F.expr("bit_xor(brief)").alias("brief")).select("pair", F.expr(line_dedup.NEAR)).collect()
+    equal = {k: sum(x == y for x, y in zip(rows[2 * k][1], rows[2 * k + 1][1], strict=True)) for k in range(200)}
+    assert all(may for k, may in got if equal[k] >= line_dedup.LEAST_EQUAL) and not any(may for k, may in got if equal[k] < 4)
+
+
+def test_lines_of_a_group_are_compared_with_few_of_it(spark, monkeypatch):
+    """24 near copies of each of 10 lines: all become one group each by about one comparison a line, not by all 276 pairs."""
+    compared = []
+
+    def counted(df, name, *args, f=common.materialize, **metrics):
+        out = f(df, name, *args, **metrics)
+        compared.extend([out.n_rows] * (name == "pairs"))
+        return out
+
+    monkeypatch.setattr(linkage, "materialize", counted)
+    rng, texts = random.Random(9), []
+    for _ in range(10):
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300))
+        texts += [f"{x[:i]}#{x[i + 1 :]}" for i in range(20, 260, 10)]
+    lost = {r.doc_id for r in line_dedup.dropped(_lines(spark, texts)).collect()}
+    assert lost == {i for i in range(240) if i % 24}
+    assert sum(compared) < 1200
